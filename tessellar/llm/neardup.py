@@ -107,7 +107,7 @@ def _table_keys(ix: Index):
             out = []
             for s in range(ix.segments):
                 for hole in range(ix.width):
-                    k = np.full(len(ids), s * ix.width + hole, np.uint64)
+                    k = mix(np.full(len(ids), s * ix.width + hole + 1, np.uint64))
                     for j in range(ix.width):
                         if j != hole:
                             k = mix(k * np.uint64(31) + fp[:, s * ix.width + j] + np.uint64(1))
