@@ -256,7 +256,7 @@ def found(pool: DataFrame) -> DataFrame:
 FOUND_SQL = """
 WITH c AS (SELECT chunk_id, max(chunk) AS t FROM pool_candidates WHERE chunk_id IS NOT NULL AND chunk IS NOT NULL GROUP BY 1),
      w AS (SELECT chunk_id, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM c),
-     g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+     g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
      n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
      p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
 SELECT p.a AS chunk_id_a, p.b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = p.a JOIN n y ON y.chunk_id = p.b

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import neardup, splitting, topn
+from tessellar.llm import leakage, neardup, packing, splitting, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,11 @@ QUERIES: dict[str, Query] = {
     "p3_found": lambda s, d: splitting.found(_t(s, d, "pool_candidates")),
     "p3_pieces": lambda s, d: splitting.split_oversized(_t(s, d, "pool_candidates")),
     "p5_found": lambda s, d: neardup.found(_t(s, d, "pool_candidates")),
+    "p6_sequences": lambda s, d: packing.pack(_t(s, d, "documents")),
+    "p6_utilisation": lambda s, d: packing.utilisation(packing.pack(_t(s, d, "documents"))),
+    "p7_found": lambda s, d: leakage.found(_t(s, d, "documents"), _t(s, d, "benchmark")),
+    "p7_leaks": lambda s, d: leakage.leaks(_t(s, d, "documents"), _t(s, d, "benchmark")),
     "p5_groups": lambda s, d: neardup.near_groups(_t(s, d, "pool_candidates")),
 }
 
-SQL: dict[str, str] = {"p2_found": topn.FOUND_SQL, "p5_found": neardup.FOUND_SQL}
+SQL: dict[str, str] = {"p2_found": topn.FOUND_SQL, "p5_found": neardup.FOUND_SQL, "p7_found": leakage.FOUND_SQL}
