@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import leakage, neardup, packing, splitting, topn
+from tessellar.llm import abuse, leakage, neardup, packing, splitting, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,8 @@ QUERIES: dict[str, Query] = {
     "p6_utilisation": lambda s, d: packing.utilisation(packing.pack(_t(s, d, "documents"))),
     "p7_found": lambda s, d: leakage.found(_t(s, d, "documents"), _t(s, d, "benchmark")),
     "p7_leaks": lambda s, d: leakage.leaks(_t(s, d, "documents"), _t(s, d, "benchmark")),
+    "p8_found": lambda s, d: abuse.found(_t(s, d, "documents"), _t(s, d, "doc_labels")),
+    "p8_rates": lambda s, d: abuse.rates(_t(s, d, "documents"), _t(s, d, "doc_labels")),
     "p5_groups": lambda s, d: neardup.near_groups(_t(s, d, "pool_candidates")),
 }
 
