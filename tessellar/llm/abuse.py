@@ -50,6 +50,7 @@ class Learner:
     decay: float = 1e-6
     picked: float = 0.6  # a further sentence of a confirmed document counts as abusive from this score on
     doubt: float = 0.1  # a confirmed document whose best sentence stays below is no longer trained on
+    far: float = 10.0  # how much oftener confirmed documents hold a sentence that can be what makes them abusive
     threshold: float = 0.3
 
 
@@ -220,7 +221,7 @@ def train(confirmed: list[str], unlabelled: list[str], cfg: Learner) -> Model:
     score = allp.times(odds) * allp.scale
     # a sentence that confirmed documents do not hold far more often than others is not what makes these abusive
     in_docs = Counter(ws for d in texts for ws in set(d))
-    rare = np.array([in_docs[ws] / len(texts) > 5 * seen.get(ws, 0) / n_u for d in texts for ws in d])
+    rare = np.array([in_docs[ws] / len(texts) > cfg.far * seen.get(ws, 0) / n_u for d in texts for ws in d])
     score = np.where(rare, score, -np.inf)
     model = np.zeros(size, np.float32), -4.0
     for i in range(cfg.alternations):
