@@ -38,7 +38,7 @@ VOWELS = re.compile(r"[aeiouy*]")
 @dataclass(frozen=True)
 class Learner:
     bits: int = 18
-    prior: float = 0.004  # of a sentence to be abusive
+    prior: float = 0.006  # of a sentence to be abusive, in the strata where confirmed documents are
     cost: float = 4.0  # of a missed abusive sentence, in false alarms
     #: bounds of the fit: confirmed documents, unlabelled documents, unlabelled sentences
     most_confirmed: int = 4000
@@ -51,7 +51,7 @@ class Learner:
     picked: float = 0.6  # a further sentence of a confirmed document counts as abusive from this score on
     doubt: float = 0.1  # a confirmed document whose best sentence stays below is no longer trained on
     far: float = 10.0  # how much oftener confirmed documents hold a sentence that can be what makes them abusive
-    threshold: float = 0.3
+    threshold: float = 0.5
 
 
 def plain(text: str) -> str:
@@ -188,30 +188,38 @@ class Model:
         return score
 
 
-def train(confirmed: list[str], unlabelled: list[str], cfg: Learner) -> Model:
-    """A model from confirmed and unlabelled documents; without any confirmed one it scores all the same, low."""
+def train(confirmed: list[tuple[str, str | None]], unlabelled: list[tuple[str, str | None]], cfg: Learner) -> Model:
+    """A model from confirmed and unlabelled documents, each a text and its stratum. Unlabelled documents count once
+    as they are and once weighted as the strata are mixed among the confirmed ones, so that what is merely the way of a
+    stratum does not look abusive. Without any
+    confirmed document all score alike, low."""
     feats = Features(cfg.bits)
-    texts = [[tuple(ws) for ws in sentences(t)] for t in confirmed]
+    texts = [[tuple(ws) for ws in sentences(t)] for t, _ in confirmed]
     texts = [d for d in texts if d]
     docs = [[feats.sentence(list(ws)) for ws in d] for d in texts]
-    seen: dict[tuple[str, ...], int] = {}
+    mix_c, mix_u = Counter(s for _, s in confirmed), Counter(s for _, s in unlabelled)
+    pull = {s: (mix_c[s] / len(confirmed) + 0.02) / (n / len(unlabelled)) for s, n in mix_u.items()} if confirmed else dict.fromkeys(mix_u, 1.0)
+    seen: dict[tuple[str, ...], float] = {}
+    flat_seen: Counter[tuple[str, ...]] = Counter()
     size = 1 << cfg.bits
-    in_u, n_u = np.zeros(size), 0
-    for t in unlabelled:
+    in_u, n_u = np.zeros(size), 0.0
+    for t, stratum in unlabelled:
+        weight = pull[stratum]
         held: set[int] = set()
         own = set(map(tuple, sentences(t)))
         for ws in own:
             if ws in seen or len(seen) < cfg.most_sentences:
-                seen[ws] = seen.get(ws, 0) + 1
+                seen[ws] = seen.get(ws, 0.0) + weight
+                flat_seen[ws] += 1
             held.update(feats.sentence(list(ws)))
-        in_u[list(held)] += 1
-        n_u += 1
+        in_u[list(held)] += weight
+        n_u += weight
     u_feats = [feats.sentence(list(ws)) for ws in seen]
     if not docs or not u_feats:
         return Model(np.zeros(1 << cfg.bits, np.float32), -4.0, cfg.bits)
     u = Rows.of(u_feats)
-    share = np.array(list(seen.values()), float)
-    share /= share.sum()
+    weighted, flat_share = np.array(list(seen.values())), np.array([flat_seen[ws] for ws in seen], float)
+    share = (weighted / weighted.sum() + flat_share / flat_share.sum()) / 2
     flat = [f for d in docs for f in d]
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     allp = Rows.of(flat)
@@ -221,7 +229,7 @@ def train(confirmed: list[str], unlabelled: list[str], cfg: Learner) -> Model:
     score = allp.times(odds) * allp.scale
     # a sentence that confirmed documents do not hold far more often than others is not what makes these abusive
     in_docs = Counter(ws for d in texts for ws in set(d))
-    rare = np.array([in_docs[ws] / len(texts) > cfg.far * seen.get(ws, 0) / n_u for d in texts for ws in d])
+    rare = np.array([in_docs[ws] / len(texts) > cfg.far * max(seen.get(ws, 0) / n_u, flat_seen[ws] / len(unlabelled)) for d in texts for ws in d])
     score = np.where(rare, score, -np.inf)
     model = np.zeros(size, np.float32), -4.0
     for i in range(cfg.alternations):
@@ -246,11 +254,11 @@ def confirmed(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: Learner) -> Model:
     """Trains on the driver from bounded samples, drawn by a hash of the id so that they are the same every time."""
-    d = docs.select("doc_id", "text").filter(F.col("text") != "")
-    sure = d.join(confirmed(labels).filter("sure"), "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"])
+    d = docs.select("doc_id", "text", "source").filter(F.col("text") != "")
+    sure = d.join(confirmed(labels).filter("sure"), "doc_id").select("doc_id", "text", "source").dropDuplicates(["doc_id"])
     draw = F.xxhash64(F.col("doc_id"), F.lit("abuse"))
-    yes = [r[1] for r in sure.orderBy(draw, "doc_id").limit(cfg.most_confirmed).collect()]
-    no = [r[1] for r in d.orderBy(draw, "doc_id").limit(cfg.most_unlabelled).collect()]
+    yes = [(r[1], r[2]) for r in sure.orderBy(draw, "doc_id").limit(cfg.most_confirmed).collect()]
+    no = [(r[1], r[2]) for r in d.orderBy(draw, "doc_id").limit(cfg.most_unlabelled).collect()]
     return train(yes, no, cfg)
 
 
