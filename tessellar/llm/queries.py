@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm import abuse, leakage, neardup, packing, splitting, topn
+from tessellar.llm import abuse, leakage, neardup, packing, scans, splitting, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,8 @@ QUERIES: dict[str, Query] = {
     "p2_found": lambda s, d: topn.found(_t(s, d, "pool_candidates"), _t(s, d, "final_results")),
     "p3_found": lambda s, d: splitting.found(_t(s, d, "pool_candidates")),
     "p3_pieces": lambda s, d: splitting.split_oversized(_t(s, d, "pool_candidates")),
+    "p4_found": lambda s, d: scans.found(_t(s, d, "pool_candidates")),
+    "p4_clean": lambda s, d: scans.reflow(scans.read_lines(_t(s, d, "pool_candidates"))),
     "p5_found": lambda s, d: neardup.found(_t(s, d, "pool_candidates")),
     "p6_sequences": lambda s, d: packing.pack(_t(s, d, "documents")),
     "p6_utilisation": lambda s, d: packing.utilisation(packing.pack(_t(s, d, "documents"))),
