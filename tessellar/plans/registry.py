@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.plans import packed_fields
+from tessellar.plans import packed_fields, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-CORE = (packed_fields,)
+CORE = (packed_fields, text_queries)
 
 
 def _modules() -> list:
