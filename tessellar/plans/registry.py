@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.plans import packed_fields, retrieval, text_queries
+from tessellar.plans import packed_fields, quality, retrieval, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-CORE = (packed_fields, text_queries, retrieval)
+CORE = (packed_fields, text_queries, retrieval, quality)
 
 
 def _modules() -> list:
