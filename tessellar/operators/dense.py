@@ -72,7 +72,7 @@ def clusters(df: DataFrame, k: int | None = None, key: str = "vec_id", vector: s
     return model.transform(x).select(key, F.col("prediction").alias("cluster"))
 
 
-def ivf(base: DataFrame, queries: DataFrame, n: int, cells: int = 16, probes: int = 8, sample: int = 100_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def ivf(base: DataFrame, queries: DataFrame, n: int, cells: int = 16, probes: int = 11, sample: int = 100_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Approximate ``knn``: every row is filed under its nearest centroid, and a query meets the rows of its ``probes``
     nearest cells. Centroids are fitted on at most ``sample`` rows, drawn by a hash of the id."""
     rows = base.filter(F.col(vector).isNotNull())
