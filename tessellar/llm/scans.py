@@ -310,6 +310,9 @@ class Reader:
             if m and head:
                 mark = out[i].rstrip()[-1]
                 word = self.parted(m[1], mark, head)
+                if word is None and head[0].islower():  # a compound keeps its hyphen
+                    glue[i] = True
+                    out[i] = out[i].rstrip()[:-1] + "-"
                 if word is not None:
                     kinds[i].append("hyphen")
                     glue[i] = True

@@ -75,8 +75,9 @@ def layout(text: str, page: int) -> tuple[list[tuple[int, int]], list[int], list
 def cut_points(ends: list[int], limit: int, max_overlap: int) -> list[tuple[int, int]]:
     """``(first word of the overlap, end)`` of each piece.
 
-    The least number of pieces comes first: equal targets are set, each moves to the strongest boundary within half a
-    piece's third, and where a piece with its overlap breaks the limit one more piece is tried.
+    The least number of pieces comes first: equal targets are set, and each moves to the strongest boundary within half a
+    piece; what is left is then parted anew. Where a piece with its overlap breaks the limit, or ends inside a sentence, one more piece is tried; ends inside
+    a sentence are taken only where twice the least number of pieces doesn't avoid them either.
     """
     n = len(ends)
     if n <= limit:
@@ -87,26 +88,39 @@ def cut_points(ends: list[int], limit: int, max_overlap: int) -> list[tuple[int,
         starts[i + 1] = s
         if ends[i] >= SENTENCE:
             s = i + 1
-    back = lambda i: max(starts[i], i - max_overlap)
-    for k in range(math.ceil(n / limit), n + 1):
-        out, at, reach = [], 0, max(1, n // (3 * k))
-        for j in range(1, k + 1):
-            head = back(at) if at else 0
-            if j == k:
-                stop = n
-            else:
-                target = round(j * n / k)
-                low, high = max(at + 1, target - reach), min(n - (k - j), target + reach, head + limit)
-                if low > high:
-                    break
-                stop = max(range(low, high + 1), key=lambda i: (ends[i - 1], -abs(i - target), -i))
-            if stop - head > limit:
-                break
-            out.append((head, stop))
-            at = stop
-        else:
+    fallback = None
+    least = math.ceil(n / limit)
+    for k in range(least, n + 1):
+        out = _cuts(ends, starts, k, limit, max_overlap)
+        if out is not None and all(ends[stop - 1] >= SENTENCE for _, stop in out):
             return out
-    return [(i, i + 1) for i in range(n)]  # pragma: no cover - a limit of one word
+        fallback = fallback or out
+        if fallback and k >= 2 * least + 2:
+            return fallback
+    return fallback or [(i, i + 1) for i in range(n)]
+
+
+def _cuts(ends: list[int], starts: list[int], k: int, limit: int, max_overlap: int) -> list[tuple[int, int]] | None:
+    n, out, at = len(ends), [], 0
+    reach = max(1, n // (2 * k))
+    for j in range(1, k + 1):
+        head = max(starts[at], at - max_overlap) if at else 0
+        if j == k:
+            stop = n
+        else:
+            target = at + round((n - at) / (k - j + 1))  # what is left, in equal parts
+            low, high, most = max(at + 1, target - reach), min(n - (k - j), target + reach, head + limit), min(n - (k - j), head + limit)
+            if low > high:
+                return None
+            near = lambda i: (ends[i - 1], -abs(i - target), -i)  # noqa: B023, E731
+            stop = max(range(low, high + 1), key=near)
+            if ends[stop - 1] < SENTENCE:  # none nearby: the strongest the limit allows
+                stop = max(range(at + 1, most + 1), key=near)
+        if stop - head > limit:
+            return None
+        out.append((head, stop))
+        at = stop
+    return out
 
 
 def split_text(text: str, page: int = -1, limit: int = 250, max_overlap: int | None = None) -> list[Piece]:
