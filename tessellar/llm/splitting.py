@@ -149,8 +149,8 @@ def split_oversized(df: DataFrame, key: str = "chunk_id", text: str = "chunk", p
     an unknown page is -1; an empty table gives no row. Other columns are pruned first.
     """
     slim = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(page).alias("p")).filter(F.col("t").isNotNull())
-    if only_oversized:  # more than `limit` words need as many characters and as many blanks between them
-        slim = slim.filter(F.length("t") > 2 * limit)
+    if only_oversized:  # more than `limit` words have as many blanks between them; counted without a pattern, before the shuffle
+        slim = slim.filter((F.length("t") > 2 * limit) & (F.length("t") - F.length(F.translate("t", " \t\n", "")) >= limit))
     slim = slim.groupBy("k").agg(F.max(F.struct("t", "p")).alias("r")).select("k", "r.t", "r.p")
     kind = slim.schema["k"].dataType.simpleString()
 
