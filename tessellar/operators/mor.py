@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from tessellar.functions.vectors import cosine, dot, mean_vector
 
 
+#: clusters up to which centroids are sent to all tasks
+MOST_CLUSTERS = 10_000
+
+
 def centroids(df: DataFrame, cluster: str = "label", vector: str = "embedding") -> DataFrame:
-    """``(cluster, centre, n)``: the mean vector and size of each cluster."""
+    """``(cluster, centre, n)``: the mean vector and size of each cluster. More than ``MOST_CLUSTERS`` are refused, as the
+    signals compare every row with every centroid."""
+    if df.select(cluster).distinct().limit(MOST_CLUSTERS + 1).count() > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
     m = mean_vector(df, [cluster], vector).withColumnRenamed(vector, "centre")
     return m.join(df.groupBy(cluster).agg(F.count("*").alias("n")), cluster)
 

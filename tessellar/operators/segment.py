@@ -107,27 +107,26 @@ def word_windows(df: DataFrame, size: int, key: str = "doc_id", text: str = "tex
     return x.select(key, "w", F.posexplode(starts).alias("pos", "at")).select(key, "pos", F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " ").alias("window"))
 
 
-def pack_fold(sizes: Column, most: int) -> Column:
-    """For each element its chunk's number when elements are packed in order up to ``most`` each: a fold that resets."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("c"), F.array().cast("array<int>").alias("out"))
+def pack(sentences: Column, most: int) -> Column:
+    """Sentences packed in order into chunks of at most ``most`` words, as an array of ``(n_words, s)``: a fold that looks
+    only at the last chunk, so a row's chunks need no shuffle."""
+    zero = F.array().cast("array<struct<n:int,s:string>>")
 
     def step(acc: Column, x: Column) -> Column:
-        new = (acc["n"] > 0) & (acc["n"] + x > most)
-        c = acc["c"] + new.cast("int")
-        return F.struct(F.when(new, x).otherwise(acc["n"] + x).alias("n"), c.alias("c"), F.concat(acc["out"], F.array(c)).alias("out"))
+        n = F.size(F.split(x, " "))
+        last = F.try_element_at(acc, F.lit(-1))
+        fits = (F.size(acc) > 0) & (last["n"] + n <= most)
+        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct((last["n"] + n).alias("n"), F.concat_ws(" ", last["s"], x).alias("s"))))
+        return F.when(fits, longer).otherwise(F.concat(acc, F.array(F.struct(n.alias("n"), x.alias("s")))))
 
-    return F.aggregate(sizes, zero, step, lambda a: a["out"])
+    return F.aggregate(sentences, zero, step)
 
 
 def pack_sentences(df: DataFrame, most: int, keys: list[str], text: str) -> DataFrame:
     """``(*keys, chunk_no, n_words, chunk)``: sentences packed greedily into chunks of at most ``most`` words; a sentence
     longer than that is a chunk of its own."""
-    s = T.sentences(F.col(text))
-    n = F.transform(s, lambda x: F.size(F.split(x, " ")))
-    x = df.select(*keys, s.alias("s"), n.alias("n")).withColumn("c", pack_fold(F.col("n"), most))
-    y = x.select(*keys, F.posexplode(F.arrays_zip("s", "n", "c")).alias("i", "z"))
-    g = y.groupBy(*keys, F.col("z.c").alias("chunk_no")).agg(F.sum("z.n").cast("int").alias("n_words"), F.array_sort(F.collect_list(F.struct("i", F.col("z.s").alias("s")))).alias("p"))
-    return g.select(*keys, "chunk_no", "n_words", F.array_join(F.transform("p", lambda q: q["s"]), " ").alias("chunk"))
+    x = df.select(*keys, F.posexplode(pack(T.sentences(F.col(text)), most)).alias("chunk_no", "p"))
+    return x.select(*keys, "chunk_no", F.col("p.n").alias("n_words"), F.col("p.s").alias("chunk"))
 
 
 def with_overlap(chunks: DataFrame, keys: list[str], sentences: int) -> DataFrame:

@@ -82,12 +82,9 @@ def candidates(s, d):
 
 def _lists(s, d, n=80):
     """The best of each score as one long table of ranked lists."""
-    out = None
-    for m in ("bm25", "tfidf", "combined"):
-        x = candidates(s, d).select("query", "candidate_id", F.lit(m).alias("method"), F.round(f"{m}_score", 6).alias("score")).filter("score is not null")
-        x = lexical.best(x, ["query", "method"], "score", "candidate_id", n)
-        out = x if out is None else out.unionAll(x)
-    return out
+    each = F.array(*[F.struct(F.lit(m).alias("method"), F.round(f"{m}_score", 6).alias("score")) for m in ("bm25", "tfidf", "combined")])
+    x = candidates(s, d).select("query", "candidate_id", F.explode(each).alias("p")).select("query", "candidate_id", "p.method", "p.score").filter("score is not null")
+    return lexical.best(x, ["query", "method"], "score", "candidate_id", n)
 
 
 def candidates_by_retriever(s, d):

@@ -36,8 +36,8 @@ def fragments(s, d):
 
 
 def keyword_presence(s, d):
-    k = s.createDataFrame([(x,) for x in KEYWORDS], "keyword string")
-    return _t(s, d).select("doc_id", "text").crossJoin(F.broadcast(k)).groupBy("keyword").agg(F.count_if(T.has_keyword(F.col("text"), F.col("keyword"))).alias("documents"))
+    k = F.explode(F.array(*map(F.lit, KEYWORDS))).alias("keyword")
+    return _t(s, d).select("text", k).groupBy("keyword").agg(F.count_if(T.has_keyword(F.col("text"), F.col("keyword"))).alias("documents"))
 
 
 def keyword_hits(s, d):
@@ -126,11 +126,9 @@ def ingest_stats(s, d):
 
 def hype_weighted_embedding(s, d):
     """The weighted mean vector of each label: the first vector counts 7, the others share the rest."""
-    from pyspark.sql import Window
-
     e = _t(s, d, "embeddings")
-    first = F.col("vec_id") == F.min("vec_id").over(Window.partitionBy("label"))
-    x = e.withColumn("w", F.when(first, F.lit(7.0)).otherwise(0.2))
+    x = e.join(e.groupBy("label").agg(F.min("vec_id").alias("first")), "label")
+    x = x.withColumn("w", F.when(F.col("vec_id") == F.col("first"), F.lit(7.0)).otherwise(0.2))
     m = V.mean_vector(x, ["label"], "embedding", F.col("w"))
     return m.select("label", F.posexplode("embedding").alias("i", "v")).select("label", "i", F.round("v", 5).alias("v"))
 

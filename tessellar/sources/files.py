@@ -88,13 +88,18 @@ def write_trace(df: DataFrame, path: str) -> None:
 
 def grouped_text(df: DataFrame, group: list[str], order: list[str], text: str) -> DataFrame:
     """Lines of a report: a header line wherever the group changes, then the text."""
-    w = Window.partitionBy(group[0]).orderBy(*group[1:], *order)
-    key = F.concat_ws(" | ", *[F.coalesce(F.col(g).cast("string"), F.lit("?")) for g in group])
-    x = df.withColumn("_key", key)
-    head = F.coalesce(F.lag("_key").over(w) != F.col("_key"), F.lit(True))
+    # the group changes at its first row: found by an aggregate, so no large group is sorted in one task
+    first = df.groupBy(*group).agg(F.min(F.struct(*order)).alias("_first"))
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    x = df.alias("a").join(first.alias("b"), same, "inner").select("a.*", "b._first", key_of(group).alias("_key"))
+    head = F.col("_first") == F.struct(*order)
     return x.select(*group, *order, F.when(head, F.concat(F.lit("== "), F.col("_key"), F.lit(" ==\n"))).otherwise("").alias("header"), F.col(text).alias("body"))
 
 
+def key_of(group: list[str]) -> Column:
+    return F.concat_ws(" | ", *[F.coalesce(F.col(f"a.{g}").cast("string"), F.lit("?")) for g in group])
+
+
 def stage_dump(df: DataFrame, group: str, score: str, key: str, text: str, n: int = 50, preview: int = 200) -> DataFrame:
     """The best rows of each group with rank and a preview of their text."""
     w = Window.partitionBy(group).orderBy(F.col(score).desc_nulls_last(), key)
