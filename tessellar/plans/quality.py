@@ -9,7 +9,7 @@ from tessellar.functions.vectors import cosine
 from tessellar.operators import coverage, dense, evaluate, fusion, lexical, mor
 from tessellar.plans import retrieval as R
 from tessellar.plans.retrieval import _TERMS
-from tessellar.plans.text_queries import BARE, SENTS, WORDS
+from tessellar.plans.text_queries import BARE, SENTS, WORDS, typed
 
 
 def _t(s, d, name="documents"):
@@ -212,4 +212,5 @@ SQL = {
     "coverage_bands": f"WITH {_AD} SELECT CASE WHEN score >= 90 THEN '90+' WHEN score >= 70 THEN '70+' WHEN score >= 50 THEN '50+' WHEN score >= 30 THEN '30+' ELSE '<30' END AS band, pattern, count(*) AS n, round(avg(score), 6) AS mean FROM ad GROUP BY 1, 2",
     "bleu_pairs": f"WITH {_PR}, m1 AS ({_match(1)}), m2 AS ({_match(2)}) SELECT result_id, round(CASE WHEN m1.l IS NULL OR m2.l IS NULL THEN 0 ELSE 100 * exp((m1.l + m2.l) / 2) END, 6) AS bleu FROM pr LEFT JOIN m1 USING (result_id) LEFT JOIN m2 USING (result_id)",
 }
+SQL["coverage_report"] = typed(SQL["coverage_report"], covered="BIGINT")
 QUERIES = {f.__name__: f for f in (mor_pre_signal, mor_post_signal, mor_diversity, mor_moran, mor_scores, mor_weights, mor_fuse, retriever_shares, dense_rerank, main_query_rerank, best_query_match, vector_agreement, coverage_sentence_scores, coverage_assign, coverage_greedy, coverage_report, coverage_cascade, coverage_methods, chunk_coverage, adaptive_coverage, coverage_bands, bleu_pairs, rouge_l, fuzzy_coverage)}

@@ -9,6 +9,8 @@ from tessellar.functions import text as T
 from tessellar.functions.providers import Providers
 from tessellar.operators import fusion, lexical, pages, segment
 from tessellar.plans import retrieval as R
+from tessellar.plans import text_queries as X
+from tessellar.plans.text_queries import typed
 from tessellar.sources import files
 from tessellar.streaming import events as E
 
@@ -171,7 +173,7 @@ _SQ = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 _KL = "list_filter(list_transform(string_split(regexp_replace(trim({0}), '^\\[|\\]$', '', 'g'), ','), lambda x: regexp_replace(trim(x), '^[\"''\\s]+|[\"''\\s]+$', '', 'g')), lambda x: x <> '')"
 _KB = f"kb AS (SELECT question, {_KL.format('cell')} AS keywords FROM (SELECT trim(question) AS question, arg_max(keywords, kw_id) AS cell FROM keywords_excel WHERE question IS NOT NULL AND keywords IS NOT NULL GROUP BY 1))"
 SQL = {
-    "page_gate": "WITH p AS (" + __import__("tessellar.plans.text_queries", fromlist=["SQL"]).SQL["split_pages_d01"].replace("length(regexp_replace(t, '\\s+', '', 'g')) AS n", "t") + f"), m AS (SELECT doc_id, ord, page_no, list_filter({_KSQL}, lambda k: contains(lower(t), k)) AS m FROM p) SELECT doc_id, ord, page_no, 1.0::DOUBLE AS relevance, array_to_string(m, ',') AS matched, (5 - len(m))::INT AS n_missing FROM m WHERE len(m) > 0",
+    "page_gate": "WITH p AS (" + X.SPLIT_PAGES.replace("length(regexp_replace(t, '\\s+', '', 'g')) AS n", "t") + f"), m AS (SELECT doc_id, ord, page_no, list_filter({_KSQL}, lambda k: contains(lower(t), k)) AS m FROM p) SELECT doc_id, ord, page_no, 1.0::DOUBLE AS relevance, array_to_string(m, ',') AS matched, (5 - len(m))::INT AS n_missing FROM m WHERE len(m) > 0",
     "page_chunks_ranked": f"WITH {_CK}, x AS (SELECT document, page_no, chunk_id, round(coalesce(score, 0) + 0.05::DOUBLE * coalesce(len(list_filter({_KSQL}, lambda k: contains(lower(chunk), k))), 0), 6) AS adjusted FROM ck WHERE page_no IS NOT NULL) " + R._top("document, page_no, chunk_id, adjusted", "x", "document, page_no", "adjusted", "chunk_id", 5),
     "page_fallback": f"WITH {_CK}, h AS (SELECT *, {_SQ.format('heading')} AS h FROM ck), k AS (SELECT document, h, arg_max(page_no, {{'s': coalesce(score, 0), 'c': chunk_id}}) AS page_no FROM h WHERE page_no IS NOT NULL AND h <> '' GROUP BY 1, 2) SELECT chunk_id, k.page_no FROM h LEFT JOIN k USING (document, h) WHERE h.page_no IS NULL",
     "remaining_pages": f"WITH {_REM} SELECT * FROM rem",
@@ -186,11 +188,12 @@ SQL = {
     "stage_dump": f"WITH {_CK} SELECT document, rank, chunk_id, md5(substring({_SQ.format('chunk')}, 1, 200)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY score DESC NULLS LAST, chunk_id)::INT AS rank FROM ck) WHERE rank <= 50",
     "grouped_txt": f"WITH x AS (SELECT result_id, r.document AS document, coalesce({_PAGE.format('r.page')}, -1) AS page_no FROM (SELECT result_id, arg_max({{'document': document, 'page': page}}, ingested_at) AS r FROM final_results GROUP BY 1)), k AS (SELECT *, concat_ws(' | ', coalesce(document, '?'), page_no::VARCHAR) AS key FROM x) SELECT document, page_no, result_id, CASE WHEN coalesce(lag(key) OVER (PARTITION BY document ORDER BY page_no, result_id) <> key, true) THEN '== ' || key || ' ==' || chr(10) ELSE '' END AS header FROM k",
     "sheets": "WITH x AS (SELECT DISTINCT trim(query) AS name FROM final_results WHERE query IS NOT NULL), y AS (SELECT name, substring(regexp_replace(name, '[\\[\\]:*?/\\\\]', '_', 'g'), 1, 27) AS s FROM x), z AS (SELECT name, s, row_number() OVER (PARTITION BY lower(s) ORDER BY name) AS n FROM y) SELECT name, CASE WHEN n = 1 THEN s ELSE s || '_' || n END AS sheet FROM z",
-    "scanned_files": "WITH p AS (" + __import__("tessellar.plans.text_queries", fromlist=["SQL"]).SQL["split_pages_d01"].replace("length(regexp_replace(t, '\\s+', '', 'g')) AS n", "t") + "), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM p) SELECT doc_id, sum(length(trim(t))) <= 100 * count(*) AS scanned FROM q WHERE n <= 5 GROUP BY 1",
+    "scanned_files": "WITH p AS (" + X.SPLIT_PAGES.replace("length(regexp_replace(t, '\\s+', '', 'g')) AS n", "t") + "), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM p) SELECT doc_id, sum(length(trim(t))) <= 100 * count(*) AS scanned FROM q WHERE n <= 5 GROUP BY 1",
     "file_state": "SELECT filename, max(file_size_bytes) AS bytes, count(DISTINCT file_hash) AS versions, max(processing_timestamp) AS last FROM store_files GROUP BY 1",
     "relational_extras": "SELECT source, lang, count(*) AS n, count(*) FILTER (text IS NULL) AS empty, sum(n_chars) AS chars FROM documents GROUP BY ROLLUP (source, lang)",
     "ext_stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "ext_sliding": "SELECT b AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS b FROM events) GROUP BY 1, 2",
     "ext_sessions": "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM y GROUP BY user_id, g",
 }
+SQL["relational_extras"] = typed(SQL["relational_extras"], chars="BIGINT")
 QUERIES = {f.__name__: f for f in (page_gate, page_chunks_ranked, page_fallback, remaining_pages, orchestrate_union, agent_coverage, agent_rounds, refined_queries, search_pipeline, keyword_book, keyword_union, group_sentences, wide_to_long, melt_levels, stage_dump, grouped_txt, sheets, scanned_files, file_state, relational_extras, ext_stream_windows, ext_sliding, ext_sessions)}

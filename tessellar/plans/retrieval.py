@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessellar.functions import text as T
 from tessellar.operators import dense, fusion, lexical
-from tessellar.plans.text_queries import STOP_SQL, WORDS
+from tessellar.plans.text_queries import STOP_SQL, WORDS, typed
 
 
 def _t(s, d, name="documents"):
@@ -230,4 +230,5 @@ SQL = {
  g AS (SELECT query, 0 AS r, []::BIGINT[] AS kept FROM (SELECT DISTINCT query FROM t) UNION ALL SELECT g.query, g.r + 1, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.query = g.query AND l.rb = g.r + 1 AND list_contains(g.kept, l.ra)) THEN kept ELSE list_append(kept, g.r + 1) END FROM g WHERE g.r < 20),
  k AS (SELECT query, kept FROM g WHERE r = 20) SELECT t.query, candidate_id, rank::INT AS rank FROM t JOIN k USING (query) WHERE list_contains(kept, rank)""",
 }
+SQL["best_sentence"] = typed(SQL["best_sentence"], hits="INT", pos="INT")
 QUERIES = {f.__name__: f for f in (bm25_topk, tfidf_topk, tfidf_sublinear, lexical_pool, query_match, dense_knn, dense_ivf, mmr_select, kmeans_clusters, candidates_by_retriever, rrf_fuse, min_max_fusion, exact_dedupe, merge_dupes, context_features, heading_score, best_sentence, final_ultimate, subqueries, expanded_queries, tfidf_dedupe)}

@@ -187,4 +187,23 @@ SQL = {
     "hype_weighted_embedding": "SELECT label, i, round(sum(w * v) / sum(w), 5) AS v FROM (SELECT label, w, unnest(range(64))::INT AS i, unnest(embedding::DOUBLE[]) AS v FROM (SELECT label, embedding, CASE WHEN vec_id = min(vec_id) OVER (PARTITION BY label) THEN 7.0 ELSE 0.2 END::DOUBLE AS w FROM embeddings)) GROUP BY 1, 2",
     "incremental_antijoin": "WITH x AS (SELECT chunk_id, md5(max(chunk)) AS hash FROM pool_candidates WHERE chunk_id IS NOT NULL GROUP BY 1), o AS (SELECT chunk_id, md5(max(chunk)) AS hash FROM pool_candidates WHERE ingested_at < TIMESTAMP '2024-06-01' GROUP BY 1) SELECT chunk_id, hash FROM x ANTI JOIN o USING (chunk_id, hash)",
 }
+SPLIT_PAGES = SQL["split_pages_d01"]
+
+
+def typed(sql: str, **kinds: str) -> str:
+    """SQL whose columns have the widths that Spark's have."""
+    return f"SELECT * REPLACE ({', '.join(f'{c}::{k} AS {c}' for c, k in kinds.items())}) FROM ({sql})"
+
+
+for _name, _kinds in {
+    "tokens_per_doc": {"n_words": "INT", "n_terms": "INT", "n_distinct": "INT"},
+    "split_pages_d01": {"n": "INT"},
+    "split_pages_d02": {"n": "INT"},
+    "line_page_map": {"headings": "BIGINT"},
+    "sections": {"section": "BIGINT"},
+    "tables_extract": {"n_tables": "INT", "n_rows": "INT"},
+    "pack_by_heading": {"section": "BIGINT"},
+    "breakpoint_chunker": {"segment": "BIGINT"},
+}.items():
+    SQL[_name] = typed(SQL[_name], **_kinds)
 QUERIES = {f.__name__: f for f in (tokens_per_doc, preprocess_text, fragments, keyword_presence, keyword_hits, smart_truncate, names, page_spellings, answers, sentence_context_window, split_pages_d01, split_pages_d02, line_page_map, sections, heading_context_asof, tables_extract, word_windows, pack_sentences, pack_by_heading, chunk_overlap, page_chunker_semantic, breakpoint_chunker, ingest_stats, hype_weighted_embedding, incremental_antijoin)}
