@@ -173,3 +173,13 @@ def found(pool: DataFrame, limit: int = 250) -> DataFrame:
     """The pages on which each oversized chunk has text."""
     p = split_oversized(pool, limit=limit)
     return p.select("chunk_id", F.explode("pages").alias("page_no")).distinct()
+
+
+FOUND_SQL = r"""
+WITH c AS (SELECT chunk_id, r.t AS t, r.p AS p FROM (SELECT chunk_id, max({'t': chunk, 'p': page}) AS r FROM pool_candidates WHERE len(regexp_extract_all(chunk, '[^ \t\n]+')) > 250 GROUP BY 1)),
+     l AS (SELECT chunk_id, p, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT chunk_id, p, string_split(t, chr(10)) AS x FROM c)),
+     m AS (SELECT *, regexp_full_match(line, '(?i)[ \t]*#+[ \t]*page[ \t]+\d{1,9}[ \t]*(-[ \t]*empty[ \t]*)?#+[ \t\r]*') AS mark FROM l),
+     o AS (SELECT *, last_value(CASE WHEN mark AND regexp_matches(line, '(?i)empty') THEN -2 WHEN mark THEN regexp_extract(line, '(\d+)', 1)::INT END IGNORE NULLS) OVER (PARTITION BY chunk_id ORDER BY i) AS opened FROM m)
+SELECT DISTINCT chunk_id, coalesce(opened, try_cast(nullif(regexp_extract(p, '(?i)^\s*(?:(?:pages?|pp?|seite|s)\.?)?\s*(\d{1,9})(?:\.0*)?\s*$', 1), '') AS INT), -1)::INT AS page_no
+FROM o WHERE NOT mark AND trim(line, ' ' || chr(9)) <> '' AND coalesce(opened, 0) <> -2
+"""
