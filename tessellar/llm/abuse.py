@@ -5,12 +5,14 @@ of documents that reviewers confirmed as abusive and from unlabelled sentences,
 
     pi * R_P(+) + max(0, R_U(-) - pi * R_P(-))
 
-Only some sentence of a confirmed document is abusive, so training alternates between picking each confirmed document's
-most suspicious sentences and fitting the classifier to them. A document scores as its highest sentence.
+Only some sentence of a confirmed document is abusive. Those that set confirmed documents apart are picked by the odds of
+their features, weighted so that the ways of a source don't count, and checked against chance; training then alternates
+between fitting the classifier and adding what it finds. A document scores as its highest sentence.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -44,13 +46,14 @@ class Learner:
     most_confirmed: int = 4000
     most_unlabelled: int = 6000
     most_sentences: int = 60_000
-    alternations: int = 3
-    epochs: int = 60
+    alternations: int = 2
+    epochs: int = 50
     rate: float = 0.5
     decay: float = 1e-6
     picked: float = 0.6  # a further sentence of a confirmed document counts as abusive from this score on
-    doubt: float = 0.1  # a confirmed document whose best sentence stays below is no longer trained on
+    outlier: float = 0.985  # a picked sentence stands out more than this share of unlabelled ones
     far: float = 10.0  # how much oftener confirmed documents hold a sentence that can be what makes them abusive
+    chance: float = 0.05  # ... and how unlikely that must be by chance
     threshold: float = 0.5
 
 
@@ -229,21 +232,36 @@ def train(confirmed: list[tuple[str, str | None]], unlabelled: list[tuple[str, s
     score = allp.times(odds) * allp.scale
     # a sentence that confirmed documents do not hold far more often than others is not what makes these abusive
     in_docs = Counter(ws for d in texts for ws in set(d))
-    rare = np.array([in_docs[ws] / len(texts) > cfg.far * max(seen.get(ws, 0) / n_u, flat_seen[ws] / len(unlabelled)) for d in texts for ws in d])
+    common = lambda ws: max(seen.get(ws, 0) / n_u, flat_seen[ws] / len(unlabelled))
+    odd = {ws: c / len(texts) > cfg.far * common(ws) and _at_least(c, len(texts) * common(ws)) < cfg.chance for ws, c in in_docs.items()}
+    rare = np.array([odd[ws] for d in texts for ws in d])
     score = np.where(rare, score, -np.inf)
+    rows = lambda keep: Rows.of([f for f, k in zip(flat, keep, strict=True) if k])
     model = np.zeros(size, np.float32), -4.0
-    for i in range(cfg.alternations):
-        best = np.full(len(docs), -np.inf)
-        np.maximum.at(best, owner, score)
-        keep = (score >= best[owner]) & (score > 0) if i == 0 else (score >= cfg.picked) | (score >= best[owner]) & (score > cfg.doubt)
-        keep &= rare
-        if not keep.any():
-            break
-        model = fit_nnpu(Rows.of([f for f, k in zip(flat, keep, strict=True) if k]), u, share, cfg)
-        score = np.where(rare, _sigmoid(allp.times(model[0]) + model[1]), -np.inf)
+    # nor is one whose features confirmed documents do not hold far more often than others, judged by unlabelled sentences
+    flat_u = u.times(odds) * u.scale
+    order = np.argsort(flat_u)
+    bar = flat_u[order][min(len(order) - 1, np.searchsorted(np.cumsum(share[order]), cfg.outlier))]
+    fit_to = rare & (score > bar)
+    best = np.full(len(docs), -np.inf)
+    np.maximum.at(best, owner, np.where(fit_to, score, -np.inf))
+    picks = fit_to & (score >= best[owner])
+    for _ in range(cfg.alternations):
+        if picks.any():
+            model = fit_nnpu(rows(picks), u, share, cfg)
+            picks = picks | fit_to & (_sigmoid(allp.times(model[0]) + model[1]) >= cfg.picked)
     return Model(model[0], model[1], cfg.bits)
 
 
+def _at_least(count: int, mean: float) -> float:
+    """How likely as many or more are where so many are expected (Poisson)."""
+    term = total = math.exp(-mean)
+    for k in range(1, count):
+        term *= mean / k
+        total += term
+    return 1 - total
+
+
 def confirmed(labels: DataFrame) -> DataFrame:
     """``(doc_id, sure)``: whether reviewers confirm a document as abusive. Each reviewer's latest clear mark counts once;
     at least two must say so, and more than twice as many as deny it."""
@@ -258,7 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: Learner) -> Model:
     sure = d.join(confirmed(labels).filter("sure"), "doc_id").select("doc_id", "text", "source").dropDuplicates(["doc_id"])
     draw = F.xxhash64(F.col("doc_id"), F.lit("abuse"))
     yes = [(r[1], r[2]) for r in sure.orderBy(draw, "doc_id").limit(cfg.most_confirmed).collect()]
-    no = [(r[1], r[2]) for r in d.orderBy(draw, "doc_id").limit(cfg.most_unlabelled).collect()]
+    rest = d.join(confirmed(labels).filter("sure"), "doc_id", "left_anti")
+    no = [(r[1], r[2]) for r in rest.orderBy(draw, "doc_id").limit(cfg.most_unlabelled).collect()]
     return train(yes, no, cfg)
 
 
