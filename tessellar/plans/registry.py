@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.plans import packed_fields, quality, reports, retrieval, text_queries
+from tessellar.plans import extras, packed_fields, quality, reports, retrieval, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-CORE = (packed_fields, text_queries, retrieval, quality, reports)
+CORE = (packed_fields, text_queries, retrieval, quality, reports, extras)
 
 
 def _modules() -> list:
