@@ -218,16 +218,14 @@ def near_pairs(df: DataFrame, key: str = "chunk_id", text: str = "chunk", ix: In
     ix = ix or Index()
     members, links = class_links(fingerprints(df, key, text, ix), ix)
     m = members.select("rep", "k", "n")
-    x = m.select(F.col("rep").alias("a"), F.col("k").alias("ka"), F.col("n").alias("na"), F.lit(True).alias("whole"))
-    across = links.join(x.drop("whole"), "a").join(m.select(F.col("rep").alias("b"), F.col("k").alias("kb"), F.col("n").alias("nb")), "b")
-    first = members.filter("id = rep").select(F.col("rep").alias("r"), F.col("k").alias("rk"))
+    first = members.filter("id = rep").select("rep", F.col("k").alias("rk"))
     # of a class beyond the limit only the representative is linked to other classes
-    across = across.join(first.select(F.col("r").alias("a"), F.col("rk").alias("ra")), "a").join(first.select(F.col("r").alias("b"), F.col("rk").alias("rb")), "b")
-    across = across.filter(((F.col("na") <= ix.expand) | (F.col("ka") == F.col("ra"))) & ((F.col("nb") <= ix.expand) | (F.col("kb") == F.col("rb"))))
+    ends = members.filter((F.col("n") <= ix.expand) | (F.col("id") == F.col("rep")))
+    across = links.join(ends.select(F.col("rep").alias("a"), F.col("k").alias("ka")), "a").join(ends.select(F.col("rep").alias("b"), F.col("k").alias("kb")), "b")
     copies = m.filter(F.col("n") > 1)
     small = copies.filter(F.col("n") <= ix.expand)
     within = small.select("rep", F.col("k").alias("ka")).join(small.select("rep", F.col("k").alias("kb")), "rep").filter("ka < kb")
-    star = copies.filter(F.col("n") > ix.expand).join(first.withColumnRenamed("r", "rep"), "rep").filter("k <> rk").select(F.col("k").alias("ka"), F.col("rk").alias("kb"))
+    star = copies.filter(F.col("n") > ix.expand).join(first, "rep").filter("k <> rk").select(F.col("k").alias("ka"), F.col("rk").alias("kb"))
     one = F.lit(1.0).alias("jaccard")
     out = across.select("ka", "kb", "jaccard").unionByName(within.select("ka", "kb", one)).unionByName(star.select("ka", "kb", one))
     return out.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"), "jaccard")
