@@ -19,6 +19,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -68,15 +70,15 @@ def plain(text: str) -> str:
 
 def tokens(sentence: str) -> list[str]:
     """Words of a sentence; of numbers only that they are some; signs inside words read as the letters they stand for."""
-    out = []
-    for w in TOKEN.findall(plain(sentence)):
-        letters = sum(c.isalpha() for c in w)
-        digits = sum(c.isdigit() for c in w)
-        if not letters and not (digits and any(c in "@$!*" for c in w)):
-            out.append("#")
-        else:
-            out.append(w.translate(LEET).strip("'’") if digits or not w.isalpha() else w)
-    return out
+    return [w if w.isalpha() else _odd_word(w) for w in TOKEN.findall(plain(sentence))]
+
+
+@lru_cache(maxsize=100_000)
+def _odd_word(w: str) -> str:
+    digits = any(c.isdigit() for c in w)
+    if not any(c.isalpha() for c in w) and not (digits and any(c in "@$!*" for c in w)):
+        return "#"
+    return w.translate(LEET).strip("'’")
 
 
 def _hash(s: str, bits: int) -> int:
@@ -89,6 +91,7 @@ class Features:
     def __init__(self, bits: int, most: int = 200_000):
         self.bits, self.most = bits, most
         self.words: dict[str, list[int]] = {}
+        self.pairs: dict[tuple[str, str, str], int] = {}
 
     def word(self, w: str) -> list[int]:
         if (f := self.words.get(w)) is None:
@@ -110,10 +113,14 @@ class Features:
         out: set[int] = set()
         for w in ws:
             out.update(self.word(w))
-        for a, b in zip(["^", *ws], [*ws, "$"], strict=True):
-            out.add(_hash(f"p{a} {b}", self.bits))
-        for a, b in zip(ws, ws[2:], strict=False):
-            out.add(_hash(f"q{a} {b}", self.bits))
+        pairs = self.pairs
+        for kind, left, right in (("p", ["^", *ws], [*ws, "$"]), ("q", ws, ws[2:])):
+            for key in zip(repeat(kind), left, right):
+                if (n := pairs.get(key)) is None:
+                    if len(pairs) >= self.most:
+                        pairs.clear()
+                    n = pairs[key] = _hash(f"{kind}{key[1]} {key[2]}", self.bits)
+                out.add(n)
         return list(out)
 
 
