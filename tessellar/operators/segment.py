@@ -199,3 +199,29 @@ def semantic_pages(df: DataFrame, key: str, text: str, target: int = 120, most:
             yield pa.RecordBatch.from_arrays([pa.array(c[0], b.column(0).type), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.string())], names=[key, "chunk_no", "n_words", "chunk"])
 
     return slim.mapInArrow(scan, f"`{key}` {kind}, chunk_no int, n_words int, chunk string")
+
+
+def blocks(df: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, pos, block)``: pieces of at most ``most`` characters, cut behind the last full stop in reach if there is one.
+    Where a piece begins depends on the one before, so a row at a time on Arrow batches."""
+    import pyarrow as pa
+
+    slim = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t") != "")
+    kind = slim.schema["k"].dataType.simpleString()
+
+    def cut(t: str):
+        at = 0
+        while at < len(t):
+            stop = min(at + most, len(t))
+            if stop < len(t) and (dot := t.rfind(".", at, stop)) > at:
+                stop = dot + 1
+            yield t[at:stop]
+            at = stop
+
+    def scan(batches):
+        for b in batches:
+            rows = [(k, i, x) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, x in enumerate(cut(t))]
+            c = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], b.column(0).type), pa.array(c[1], pa.int32()), pa.array(c[2], pa.string())], names=[key, "pos", "block"])
+
+    return slim.mapInArrow(scan, f"`{key}` {kind}, pos int, block string")

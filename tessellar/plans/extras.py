@@ -123,6 +123,11 @@ def query_shares(s, d):
     return x.join(F.broadcast(total)).select("query", "n", "chunks", F.round(F.col("n") / F.col("total"), 9).alias("share"))  # one row
 
 
+def text_blocks(s, d):
+    x = segment.blocks(_t(s, d), 1000)
+    return x.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.max(F.length("block")).alias("longest"), F.sum(F.length("block")).alias("chars"))
+
+
 _P = "p AS (SELECT candidate_id, trim(r.query) AS query, r.chunk AS chunk, CASE WHEN r.s IS NULL OR isnan(r.s) THEN 0 ELSE r.s END AS s FROM (SELECT candidate_id, arg_max({'query': query, 'chunk': chunk, 's': combined_score}, ingested_at) AS r FROM pool_candidates WHERE trim(query) <> '' GROUP BY 1))"
 _REL = f"CASE WHEN len(list_distinct({_TERMS.format('query')})) > 0 THEN len(list_intersect(list_distinct({_TERMS.format('query')}), list_distinct({_TERMS.format('substring(chunk, 1, 4000)')}))) / len(list_distinct({_TERMS.format('query')})) ELSE 0 END"
 _RR80 = _KNN.replace("rank <= 20", "rank <= 80")
@@ -141,4 +146,4 @@ SQL = {
     "hypothetical_questions": "WITH p AS (SELECT chunk_id, lower(trim(regexp_replace(max(heading), '\\s+', ' ', 'g'))) AS h FROM pool_candidates WHERE chunk_id IS NOT NULL GROUP BY 1) SELECT chunk_id, unnest(range(3))::INT AS n, unnest(['what is said on ' || h || '?', 'who is responsible for ' || h || '?', 'what figures stand for ' || h || '?']) AS question FROM p WHERE h NOT IN ('', 'nan', 'null', 'none', 'unknown', 'no heading')",
     "query_shares": "WITH p AS (SELECT candidate_id, r.* FROM (SELECT candidate_id, arg_max({'query': trim(query), 'chunk_id': chunk_id}, ingested_at) AS r FROM pool_candidates WHERE trim(query) <> '' GROUP BY 1)), x AS (SELECT query, count(*) AS n, count(DISTINCT chunk_id) AS chunks FROM p GROUP BY 1) SELECT query, n, chunks, round(n / sum(n) OVER (), 9) AS share FROM x",
 }
-QUERIES = {f.__name__: f for f in (keyword_match_score, neural_rerank, extracted_sentences, sentence_similarity, dense_first, rrf_lexical, sparse_pre_signal, heading_hierarchy, side_by_side, candidate_union, pair_scores, hypothetical_questions, query_shares)}
+QUERIES = {f.__name__: f for f in (keyword_match_score, neural_rerank, extracted_sentences, sentence_similarity, dense_first, rrf_lexical, sparse_pre_signal, heading_hierarchy, side_by_side, candidate_union, pair_scores, hypothetical_questions, query_shares, text_blocks)}
