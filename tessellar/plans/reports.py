@@ -90,11 +90,11 @@ def search_pipeline(s, d):
     x = lexical.best(x, "query", "pool_score", "candidate_id", cfg.pool, "pool_rank")
     t = _t(s, d, "pool_candidates").filter("chunk_id is not null").groupBy("chunk_id").agg(F.max("chunk").alias("chunk"))
     x = x.join(t, "chunk_id").withColumn("rel", p.relevance(F.col("query"), F.col("chunk")))
-    x = x.withColumn("dense", F.round(cfg.dense_mix[0] * F.col("pool_score") + cfg.dense_mix[1] * F.col("rel"), 6))
+    x = x.withColumn("dense", F.round(cfg.dense_mix[0] * F.col("pool_score") + cfg.dense_mix[1] * F.col("rel"), 9))
     x = lexical.best(x, "query", "dense", "candidate_id", cfg.dense, "dense_rank")
-    x = x.withColumn("enhanced", F.round(F.col("dense") + cfg.context * fusion.overlap_bonus(F.col("query"), F.col("chunk")), 6))
+    x = x.withColumn("enhanced", F.round(F.col("dense") + cfg.context * fusion.overlap_bonus(F.col("query"), F.col("chunk")), 9))
     x = lexical.best(x, "query", "enhanced", "candidate_id", cfg.neural, "neural_rank")
-    x = x.withColumn("extract", p.extract(F.col("query"), F.col("chunk"))).withColumn("ultimate", F.round(fusion.ultimate(F.col("enhanced"), p.relevance(F.col("query"), F.col("extract")), cfg.sentence), 6))
+    x = x.withColumn("extract", p.extract(F.col("query"), F.col("chunk"))).withColumn("ultimate", F.round(fusion.ultimate(F.col("enhanced"), p.relevance(F.col("query"), F.col("extract")), cfg.sentence), 12))
     return lexical.best(x, "query", "ultimate", "candidate_id", cfg.final).select("query", "candidate_id", "pool_score", "dense", "enhanced", "ultimate", "rank")
 
 

@@ -188,6 +188,13 @@ SQL = {
     "incremental_antijoin": "WITH x AS (SELECT chunk_id, md5(max(chunk)) AS hash FROM pool_candidates WHERE chunk_id IS NOT NULL GROUP BY 1), o AS (SELECT chunk_id, md5(max(chunk)) AS hash FROM pool_candidates WHERE ingested_at < TIMESTAMP '2024-06-01' GROUP BY 1) SELECT chunk_id, hash FROM x ANTI JOIN o USING (chunk_id, hash)",
 }
 SPLIT_PAGES = SQL["split_pages_d01"]
+SQL["heading_context_asof"] = f"""WITH {_LINES}, a AS (SELECT doc_id, line_no, trim(line, ' ') AS s, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1 AS start FROM l),
+ v AS (SELECT *, CASE WHEN s = upper(s) AND regexp_matches(s, '\\p{{Lu}}') AND length(s) > 3 AND NOT starts_with(s, '|') THEN 1
+  WHEN regexp_matches(s, '^\\*\\*.+\\*\\*$') OR regexp_matches(s, '^#\\s+\\S') OR regexp_matches(s, '^[0-9]+\\.\\s+[A-Z]') OR regexp_matches(s, '^[A-Z][a-z]+:$') THEN 2
+  WHEN regexp_matches(s, '^[0-9]+\\.[0-9]+\\s+[A-Z]') OR regexp_matches(s, '^[a-z]\\)\\s+[A-Z]') THEN 3 END AS level FROM a),
+ h AS (SELECT * FROM v WHERE level IS NOT NULL),
+ b AS (SELECT *, max(line_no) FILTER (level = 1) OVER w AS a1, max(line_no) FILTER (level = 2) OVER w AS a2, last_value(CASE WHEN level = 1 THEN s END IGNORE NULLS) OVER w AS l1, last_value(CASE WHEN level = 2 THEN s END IGNORE NULLS) OVER w AS l2 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT doc_id, line_no::INT AS line_no, start::BIGINT AS start, level, s AS title, CASE WHEN level = 3 AND a2 > coalesce(a1, -1) THEN l2 WHEN level > 1 THEN l1 END AS parent FROM b"""
 
 
 def typed(sql: str, **kinds: str) -> str:
