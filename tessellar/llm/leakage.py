@@ -1,9 +1,11 @@
-"""Held-out test passages inside a corpus: rare n-gram seeds, then Smith-Waterman alignment.
+"""Held-out test passages inside a corpus: n-gram seeds, then Smith-Waterman alignment.
 
-Every run of ``run`` consecutive words that a document shares with an item holds all n-grams of one window of the item.
-From each window the n-gram that the corpus holds least often is taken as its seed, so no such run is missed while common
-phrases are avoided where anything rarer stands beside them. A document that holds a seed is aligned with the item around
-the seed's diagonal.
+Every n-gram of an item is a seed: an edited copy keeps some of them, and which ones can't be told from the item or from
+counts. A document that holds a seed is aligned with the item around the seed's diagonal.
+
+Where only runs of ``run`` consecutive words are asked for, fewer seeds do: such a run holds all n-grams of one window of
+the item, so the one that the corpus holds least often is taken from each window. No such run is missed, and common phrases
+are avoided where anything rarer stands beside them.
 
 The items are the small side. Their words come to the driver in blocks of bounded size, and each block meets the whole
 corpus: the number of passes, not the memory, grows with the items.
@@ -34,6 +36,8 @@ class Align:
     least_score: int = 12
     #: characters of items that meet the corpus at once
     block_chars: int = 20_000_000
+    #: only pairs with a run of ``run`` words are asked for, so one seed a window of that many words is enough
+    runs_only: bool = False
 
 
 @dataclass
@@ -97,16 +101,20 @@ def _corpus_counts(docs: DataFrame, grams: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _choose_seeds(block: Items, counts: np.ndarray, cfg: Align) -> None:
+def _choose_seeds(block: Items, counts: np.ndarray | None, cfg: Align) -> None:
+    """Every n-gram of the items is a seed; with ``counts``, the rarest of each window."""
     width = cfg.run - cfg.seed_words + 1
     places: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for i, w in enumerate(block.words):
         if len(w) < cfg.seed_words:
             continue
         g, _ = ngrams(w, np.array([0, len(w)]), cfg.seed_words)
-        rarity = counts[np.searchsorted(block.grams, g)]
-        order = np.lexsort((g, rarity)).argsort()  # rank by rarity, then by hash
-        picked = {int(s + np.argmin(order[s : s + width])) for s in range(max(1, len(g) - width + 1))}
+        if counts is None:
+            picked = set(range(len(g)))
+        else:
+            rarity = counts[np.searchsorted(block.grams, g)]
+            order = np.lexsort((g, rarity)).argsort()  # rank by rarity, then by hash
+            picked = {int(s + np.argmin(order[s : s + width])) for s in range(max(1, len(g) - width + 1))}
         for p in picked:
             places[int(g[p])].append((i, p))
     block.places = dict(places)
@@ -139,7 +147,7 @@ def leaks(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "t
         rows = b.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == x).orderBy("i", "t").collect()
         block = _read_block(rows, cfg)
         if len(block.grams):
-            _choose_seeds(block, _corpus_counts(d, block.grams, cfg.seed_words), cfg)
+            _choose_seeds(block, _corpus_counts(d, block.grams, cfg.seed_words) if cfg.runs_only else None, cfg)
             part = d.mapInArrow(_aligner(d.sparkSession.sparkContext.broadcast(block), cfg, key, item, (d.schema["k"].dataType, b.schema["i"].dataType)), schema)
             out = part if out is None else out.unionAll(part)
     if out is None:
@@ -189,7 +197,7 @@ def _aligner(held, cfg: Align, key: str, item: str, kinds: tuple):
 
 def found(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents and items that share a run of at least ten words."""
-    cfg = Align()
+    cfg = Align(runs_only=True)
     return leaks(docs, bench, cfg=cfg).filter(F.col("run") >= cfg.run).select("doc_id", "item_id")
 
 

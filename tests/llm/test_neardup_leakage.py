@@ -92,6 +92,17 @@ def test_leaks_of_odd_rows_in_blocks(spark):
     assert leakage.leaks(d.limit(0), b).count() == 0 and leakage.leaks(d, b.limit(0)).count() == 0
 
 
+def test_leaks_of_copies_with_an_edit_every_eight_words(spark):
+    item = [f"w{i}" for i in range(80)]
+    swapped = [f"e{i}" if i % 8 == 7 else w for i, w in enumerate(item)]
+    longer = [x for i, w in enumerate(item) for x in ([w, f"e{i}"] if i % 8 == 7 else [w])]
+    docs = [(1, " ".join(["x"] * 30 + swapped + ["y"] * 30)), (2, " ".join(longer)), (3, " ".join(f"z{i}" for i in range(80))), (4, " ".join(item))]
+    b = spark.createDataFrame([(10, " ".join(item))], "item_id bigint, text string")
+    for some in (docs, docs[:3]):  # with the item itself in the corpus and without
+        got = {r["doc_id"]: (r["score"], r["run"]) for r in leakage.leaks(spark.createDataFrame(some, "doc_id bigint, text string"), b).collect()}
+        assert got == {1: (2 * 70 - 2 * 9, 7), 2: (2 * 80 - 2 * 9, 8)} | ({4: (160, 80)} if len(some) == 4 else {})
+
+
 def test_alignment():
     a, b = np.array([1, 2, 3, 9, 4, 5]), np.array([7, 1, 2, 3, 4, 5, 8])
     assert leakage.smith_waterman(a, b, leakage.Align()) == (8, 3, 0, 2)
