@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +38,50 @@ def sentence_scores(bench: DataFrame, docs: DataFrame, key: str = "item_id", doc
     return x.select(key, "sid", doc, F.round(share, 6).alias("overlap")).filter(F.col("overlap") >= least)
 
 
+def item_scores(bench: DataFrame, docs: DataFrame, key: str = "item_id", doc: str = "doc_id", text: str = "text", least: float = 15, block_words: int = 2_000_000) -> DataFrame:
+    """``(key, doc, score)``: the share in percent of an item's words that a document holds, above ``least``.
+
+    At a low share nearly every pair has some word in common, so pairs aren't joined: the items, the small side, come to the
+    driver in blocks of bounded size, and every document counts its words against all items of a block. Null texts and items
+    without terms have no row; empty tables give no row.
+    """
+    own = docs.filter(F.col(text).isNotNull()).select(doc, F.array_distinct(T.terms(F.col(text))).alias("dw"))
+    b = bench.select(F.col(key).alias("i"), F.array_distinct(T.terms(F.col(text))).alias("bw")).filter(F.size("bw") > 0)
+    blocks = max(1, -(-(b.agg(F.sum(F.size("bw"))).first()[0] or 0) // block_words))
+    kinds = own.schema[doc].dataType.simpleString(), b.schema["i"].dataType.simpleString()
+    out = None
+    for x in range(blocks):
+        rows = b.filter(F.pmod(F.xxhash64("i", "bw"), F.lit(blocks)) == x).toArrow().combine_chunks()  # at most about block_words words
+        part = own.mapInArrow(_held(docs.sparkSession.sparkContext.broadcast(rows), key, doc, least), f"`{key}` {kinds[1]}, `{doc}` {kinds[0]}, held bigint, n bigint")
+        out = part if out is None else out.unionAll(part)
+    return out.select(key, doc, F.round(100 * F.col("held") / F.col("n"), 6).alias("score")).filter(F.col("score") > least)
+
+
+def _held(items, key: str, doc: str, least: float):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lists = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in items.value.columns)
+        n = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        flat = pc.list_flatten(lists)
+        known = pc.unique(flat)
+        word = pc.index_in(flat, known).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.repeat(np.arange(len(n)), n)[np.argsort(word, kind="stable")]  # the items of each word, word by word
+        first = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(known)))))
+        for big in batches:
+            for lo in range(0, big.num_rows if len(n) else 0, step := max(1, 200_000 // max(1, len(n)))):
+                b = big.slice(lo, step)
+                w = pc.index_in(pc.list_flatten(b.column(1)), known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(b.column(1))))[w >= 0]
+                w = w[w >= 0]
+                many = first[w + 1] - first[w]
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[w], many)
+                held = np.bincount(np.repeat(row, many) * len(n) + of[at], minlength=b.num_rows * len(n))
+                hit = np.flatnonzero(100 * held >= least * np.tile(n, b.num_rows))
+                d, i = hit // len(n), hit % len(n)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), b.column(0).take(pa.array(d)), pa.array(held[hit].astype(np.int64)), pa.array(n[i])], names=[key, doc, "held", "n"])
+
+    return scan
+
+
 def assign(scores: DataFrame, key: str = "item_id", doc: str = "doc_id") -> DataFrame:
     """Each sentence's best document; of equals the smaller id."""
     w = Window.partitionBy(key, "sid").orderBy(F.col("overlap").desc(), doc)

@@ -10,6 +10,7 @@ from tessellar.operators import coverage, dense, evaluate, fusion, lexical, mor
 from tessellar.plans import retrieval as R
 from tessellar.plans.retrieval import _TERMS
 from tessellar.plans.text_queries import BARE, SENTS, WORDS, typed
+from tessellar.session import cut
 
 
 def _t(s, d, name="documents"):
@@ -141,11 +142,27 @@ def adaptive_coverage(s, d):
 
 
 def coverage_bands(s, d):
-    x = adaptive_coverage(s, d)
+    return _bands(adaptive_coverage(s, d))
+
+
+def _bands(x):
     b = F.when(F.col("score") >= 90, "90+").when(F.col("score") >= 70, "70+").when(F.col("score") >= 50, "50+").when(F.col("score") >= 30, "30+").otherwise("<30")
     return x.groupBy(b.alias("band"), "pattern").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
 
+def chunk_coverage_all(s, d):
+    """Share in percent of a benchmark item's words that a document holds, above 15, wherever in the item they stand."""
+    return coverage.item_scores(_t(s, d, "benchmark"), _t(s, d))
+
+
+def adaptive_coverage_all(s, d):
+    return coverage.adaptive(cut(chunk_coverage_all(s, d), "item_scores"))
+
+
+def coverage_bands_all(s, d):
+    return _bands(adaptive_coverage_all(s, d))
+
+
 def _pairs(s, d):
     f = _t(s, d, "final_results").groupBy("result_id").agg(F.max_by(F.struct("extracted_sentences", "chunk_context"), "ingested_at").alias("r"))
     return f.select("result_id", "r.*")
@@ -179,6 +196,7 @@ _SS = f"""{_BS}, dw AS (SELECT doc_id, list_distinct({_TERMS.format('text')}) AS
 _CAS = f"{_SS}, cb AS (SELECT item_id, sid, {BARE.format('sentence')} AS b FROM bs), ct AS (SELECT doc_id, {BARE.format('text')} AS t FROM documents), cr AS (SELECT item_id, sid, max(overlap) AS o, max((t = b)::INT) AS e, max(contains(t, b)::INT) AS p FROM ss JOIN cb USING (item_id, sid) JOIN ct USING (doc_id) GROUP BY 1, 2), cas AS (SELECT item_id, sid, CASE WHEN e = 1 THEN 'exact' WHEN p = 1 THEN 'substring' WHEN o >= 0.8 THEN 'overlap' WHEN o >= 0.5 THEN 'partial' ELSE 'none' END AS how FROM bs LEFT JOIN cr USING (item_id, sid))"
 _CH = f"{_SS}, bw AS (SELECT item_id, list_distinct({_TERMS.format('text')}) AS bw FROM benchmark), ck AS (SELECT item_id, doc_id, round(100 * len(list_intersect(bw, dw)) / len(bw), 6) AS score FROM (SELECT DISTINCT item_id, doc_id FROM ss) JOIN bw USING (item_id) JOIN dw USING (doc_id)), cc AS (SELECT * FROM ck WHERE score > 15)"
 _AD = f"{_CH}, cr_ AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM cc), ap AS (SELECT item_id, count(*) AS n, coalesce(max(score) FILTER (r = 1), 0) AS a, coalesce(max(score) FILTER (r = 2), 0) AS b, coalesce(max(score) FILTER (r = 3), 0) AS c FROM cr_ GROUP BY 1), ad AS (SELECT item_id, round(CASE WHEN a >= 80 THEN a WHEN n >= 2 AND (a >= 40 OR a + b + c >= 60) THEN least(100, a + 0.7::DOUBLE * b + 0.5::DOUBLE * c) ELSE a END, 6) AS score, CASE WHEN n = 1 OR a >= 80 THEN 'concentrated' WHEN a < 60 THEN 'distributed' ELSE 'mixed' END AS pattern, n FROM ap)"
+_CHA = f"bw AS (SELECT item_id, list_distinct({_TERMS.format('text')}) AS bw FROM benchmark), dw AS (SELECT doc_id, list_distinct({_TERMS.format('text')}) AS dw FROM documents WHERE text IS NOT NULL), cc AS (SELECT * FROM (SELECT item_id, doc_id, round(100 * len(list_intersect(bw, dw)) / len(bw), 6) AS score FROM bw, dw WHERE len(bw) > 0) WHERE score > 15)"
 _PR = f"pr AS (SELECT result_id, {WORDS.format('r.a')} AS a, {WORDS.format('r.b')} AS b FROM (SELECT result_id, arg_max({{'a': extracted_sentences, 'b': chunk_context}}, ingested_at) AS r FROM final_results GROUP BY 1))"
 _G2 = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
 
@@ -212,5 +230,7 @@ SQL = {
     "coverage_bands": f"WITH {_AD} SELECT CASE WHEN score >= 90 THEN '90+' WHEN score >= 70 THEN '70+' WHEN score >= 50 THEN '50+' WHEN score >= 30 THEN '30+' ELSE '<30' END AS band, pattern, count(*) AS n, round(avg(score), 6) AS mean FROM ad GROUP BY 1, 2",
     "bleu_pairs": f"WITH {_PR}, m1 AS ({_match(1)}), m2 AS ({_match(2)}) SELECT result_id, round(CASE WHEN m1.l IS NULL OR m2.l IS NULL THEN 0 ELSE 100 * exp((m1.l + m2.l) / 2) END, 6) AS bleu FROM pr LEFT JOIN m1 USING (result_id) LEFT JOIN m2 USING (result_id)",
 }
+for _name in ("chunk_coverage", "adaptive_coverage", "coverage_bands"):  # over all pairs, without the gate by sentences
+    SQL[_name + "_all"] = SQL[_name].replace(_CH, _CHA)
 SQL["coverage_report"] = typed(SQL["coverage_report"], covered="BIGINT")
-QUERIES = {f.__name__: f for f in (mor_pre_signal, mor_post_signal, mor_diversity, mor_moran, mor_scores, mor_weights, mor_fuse, retriever_shares, dense_rerank, main_query_rerank, best_query_match, vector_agreement, coverage_sentence_scores, coverage_assign, coverage_greedy, coverage_report, coverage_cascade, coverage_methods, chunk_coverage, adaptive_coverage, coverage_bands, bleu_pairs, rouge_l, fuzzy_coverage)}
+QUERIES = {f.__name__: f for f in (mor_pre_signal, mor_post_signal, mor_diversity, mor_moran, mor_scores, mor_weights, mor_fuse, retriever_shares, dense_rerank, main_query_rerank, best_query_match, vector_agreement, coverage_sentence_scores, coverage_assign, coverage_greedy, coverage_report, coverage_cascade, coverage_methods, chunk_coverage, adaptive_coverage, coverage_bands, chunk_coverage_all, adaptive_coverage_all, coverage_bands_all, bleu_pairs, rouge_l, fuzzy_coverage)}

@@ -149,3 +149,30 @@ def test_sources_and_sinks(spark, tmp_path):
     assert rows(files.wide_to_long(w)) == [("q1", 1, "a"), ("q3", 1, "b"), ("q3", 2, "c")]
     k = spark.createDataFrame([(1, "q", "['a', 'b c']"), (2, "q", "x, y"), (3, "r", None)], "kw_id int, question string, keywords string")
     assert rows(files.keyword_book(k)) == [("q", ["x", "y"])]
+
+
+def test_coverage_of_words_spread_over_sentences(spark, tiny):
+    words = [f"word{i:02d}" for i in range(20)]
+    items = [(1, ". ".join(" ".join(words[i : i + 4]) for i in range(0, 20, 4))), (2, None), (3, "of the")]
+    docs = [(1, " ".join(words[::4])), (2, " ".join(words[:3])), (3, None), (4, "other words"), (5, " ".join(words).upper())]
+    b, d = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = {(1, 1, 25.0), (1, 5, 100.0)}  # document 1 holds a word of each sentence, and 2 just 15 %
+    assert {tuple(r) for r in coverage.item_scores(b, d).collect()} == want
+    assert {tuple(r) for r in coverage.item_scores(b.union(b.selectExpr("item_id + 10", "text")), d, block_words=5).collect()} == want | {(i + 10, j, x) for i, j, x in want}
+    assert coverage.item_scores(b.limit(0), d).count() == 0 and coverage.item_scores(b, d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["chunk_coverage_all", "adaptive_coverage_all", "coverage_bands_all"])
+def test_coverage_of_all_pairs_against_sql(spark, tiny, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
+    cur = c.execute(entry.oracle_sql()[name])
+    names = [x[0] for x in cur.description]
+    key = lambda rows: sorted(tuple(round(float(x), 6) if not isinstance(x, str) else x for x in r) for r in rows)
+    want = key(cur.fetchall())
+    assert key(entry.queries()[name](spark, tiny).select(*names).collect()) == want and want
