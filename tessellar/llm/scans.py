@@ -1,8 +1,9 @@
 """Repair of text taken from scanned pages: parted words, misread characters, running titles, page numbers.
 
 Counts come from all chunks: how often each word and each pair of neighbouring words stands, and in which masked forms
-lines recur (digits masked, the words of the file's own name masked, look-alike glyphs folded). What a worker holds of
-them is bounded by construction: only words, pairs and line forms that make up at least a fixed share of all are kept.
+lines recur (digits masked, the words of the file's own name masked, look-alike glyphs folded). All counts are kept. They
+grow with the corpus, so workers don't hold them: Spark sorts them by hash, the driver streams them into files, and each
+node looks up in its copy of the files by binary search, mapped and not read into memory.
 
 Words are grouped by their confusable-glyph skeleton. A word is a misread one if its skeleton's most frequent form is many
 times as frequent and its neighbours are known beside that form. Line by line, a chunk is then read with its neighbours;
@@ -11,15 +12,22 @@ SQL windows put what is left together into paragraphs.
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import re
+import shutil
+import tempfile
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellar.llm.splitting import MARK, page_number
@@ -44,7 +52,6 @@ SENTENCE = re.compile(r"[.!?:;][\"'”’)]*\s*$")
 
 @dataclass(frozen=True)
 class Scan:
-    least_share: float = 1e-6  # of all words (pairs, lines) that a word (pair, line form) must make up to be kept
     ratio: float = 20.0  # how many times as frequent the right form must be
     sure: float = 200.0  # ... and without known neighbours beside it
     least_lines: int = 3  # occurrences of a line form that may be a running title
@@ -146,70 +153,151 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select("document", "heading", "chunk").mapInArrow(scan, "kind string, key string, n bigint, strong bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("strong").alias("strong"))
 
 
+def hashed(key: str) -> int:
+    return int.from_bytes(hashlib.md5(key.encode()).digest()[:8], "big")
+
+
+def _hashed(c: Column) -> Column:
+    """``hashed`` in hexadecimal digits, so in the same order."""
+    return F.substring(F.md5(c), 1, 16)
+
+
+class Stored:
+    """A table of keys with a number or a text each, in files of sorted 64-bit hashes that every node has."""
+
+    def __init__(self, spark, name: str, rows: DataFrame):
+        """``rows``: ``(h, v)`` with ``v`` a number or a text, or ``h`` alone."""
+        self.name, self.kind, self.size = f"{name}-{uuid.uuid4().hex}", dict(rows.dtypes).get("v"), 0
+        here = Path(tempfile.mkdtemp(prefix="tessellar-lexicon-"))
+        atexit.register(shutil.rmtree, here, ignore_errors=True)
+        paths = [here / f"{self.name}.{x}" for x in ("h", "v", "t")[: 1 if self.kind is None else 3 if self.kind == "string" else 2]]
+        files, end = [p.open("wb") for p in paths], 0
+
+        def put(batch: list) -> None:
+            nonlocal end
+            np.array([int(r[0], 16) for r in batch], np.uint64).tofile(files[0])
+            if self.kind == "string":
+                texts = [r[1].encode() for r in batch]
+                ends = end + np.cumsum([len(x) for x in texts])
+                ends.astype(np.int64).tofile(files[1])
+                files[2].write(b"".join(texts))
+                end = int(ends[-1])
+            elif self.kind:
+                np.array([r[1] for r in batch], np.int64).tofile(files[1])
+            self.size += len(batch)
+
+        batch: list = []
+        for r in rows.orderBy("h").toLocalIterator(prefetchPartitions=True):  # one partition at a time
+            batch.append(r)
+            if len(batch) == 100_000:
+                put(batch)
+                batch = []
+        if batch:
+            put(batch)
+        for f in files:
+            f.close()
+        if self.size:
+            for p in paths:
+                spark.sparkContext.addFile(str(p))
+        self.open = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"open": None}
+
+    def get(self, key: str, default=None):
+        if self.open is None:
+            kinds = {"h": np.uint64} | ({} if self.kind is None else {"v": np.int64} | ({"t": np.uint8} if self.kind == "string" else {}))
+            self.open = {x: np.memmap(SparkFiles.get(f"{self.name}.{x}"), t, "r") if self.size else np.zeros(0, t) for x, t in kinds.items()}
+            self.seen: dict = {}
+        if key in self.seen:
+            v = self.seen[key]
+        else:
+            h = np.uint64(hashed(key))
+            at, v = int(np.searchsorted(self.open["h"], h)), None
+            if at < self.size and self.open["h"][at] == h:
+                if self.kind == "string":
+                    v = self.open["t"][int(self.open["v"][at - 1]) if at else 0 : int(self.open["v"][at])].tobytes().decode()
+                else:
+                    v = int(self.open["v"][at]) if self.kind else 1
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[key] = v
+        return default if v is None else v
+
+    def __contains__(self, key: str) -> bool:
+        return self.get(key) is not None
+
+    def __getitem__(self, key: str):
+        return self.get(key)
+
+
+@dataclass
 class Lexicon:
-    """What the workers know: frequent words, the skeletons' main forms, frequent pairs, running titles, headings."""
-
-    def __init__(self, words: dict[str, int], titles: set[str], headings: dict[str, int], cfg: Scan):
-        self.words, self.titles, self.headings, self.cfg = words, titles, headings, cfg
-        self.main: tuple[dict[str, str], ...] = ({}, {}, {})
-        for w, n in words.items():
-            if len(w) > 1 and not NUMBER.fullmatch(w):
-                for side, k in zip(self.main, skeletons(w), strict=True):
-                    if (m := side.get(k)) is None or (words[m], m) < (n, w):
-                        side[k] = w
-        self.order = {w: i for i, w in enumerate(sorted(words))}
-        self.pairs = np.zeros(0, np.int64)
+    """What is known of all chunks: words, the skeletons' main forms, pairs of neighbours, running titles, headings."""
+
+    words: Stored
+    main: Stored  # by the skeleton's side and the skeleton
+    pairs: Stored
+    titles: Stored
+    headings: Stored
+    cfg: Scan
 
     def mates(self, w: str, capitals: bool = False) -> list[str]:
         """More frequent forms that a word, in capitals or not, may be a misreading of."""
         n = self.words.get(w, 0)
         least = self.cfg.ratio * max(1, n)
-        return [m for m in dict.fromkeys(side.get(k) for side, k in list(zip(self.main, skeletons(w), strict=True))[: 3 if capitals else 2]) if m and m != w and self.words[m] >= least]
+        return [m for m in dict.fromkeys(self.main.get(f"{i} {k}") for i, k in enumerate(skeletons(w)[: 3 if capitals else 2])) if m and m != w and self.words[m] >= least]
 
     def beside(self, a: str, b: str) -> bool:
-        x, y = self.order.get(a), self.order.get(b)
-        if x is None or y is None:
-            return False
-        key = x * len(self.order) + y
-        at = np.searchsorted(self.pairs, key)
-        return bool(at < len(self.pairs) and self.pairs[at] == key)
+        return a in self.words and b in self.words and f"{a} {b}" in self.pairs
 
 
-def _pair_counts(docs: DataFrame, words: list[str]) -> DataFrame:
-    """Counts of neighbouring known words, as ``place of the first * number of words + place of the second``."""
-    held = docs.sparkSession.sparkContext.broadcast(words)
+def _pairs(docs: DataFrame) -> DataFrame:
+    """``(pair)``: each two neighbouring words, once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(held.value, pa.string())
         for big in batches:
             for lo in range(0, big.num_rows, 4000):
                 b = big.slice(lo, 4000)
                 both = pc.binary_join_element_wise(b.column(0).fill_null(""), b.column(1).fill_null(""), "\n")
                 lists = pc.utf8_split_whitespace(pc.utf8_lower(both))
-                flat = pc.utf8_trim(pc.list_flatten(lists), EDGE)
-                at = pc.index_in(flat, known).fill_null(-1).to_numpy().astype(np.int64)
+                flat = pc.utf8_trim(pc.list_flatten(lists), EDGE).dictionary_encode()
+                at, known = flat.indices.to_numpy().astype(np.int64), flat.dictionary
                 row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
-                ok = (at[:-1] >= 0) & (at[1:] >= 0) & (row[:-1] == row[1:])
-                key, n = np.unique(at[:-1][ok] * len(known) + at[1:][ok], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["pair", "n"])
+                filled = np.asarray(pc.binary_length(known)) > 0
+                ok = filled[at[:-1]] & filled[at[1:]] & (row[:-1] == row[1:])
+                key = np.unique(at[:-1][ok] * len(known) + at[1:][ok])
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(known.take(pa.array(key // max(1, len(known)))), known.take(pa.array(key % max(1, len(known)))), " ")], names=["pair"])
+
+    return docs.select("heading", "chunk").mapInArrow(scan, "pair string").select(_hashed(F.col("pair")).alias("h")).distinct()
+
+
+def _main_forms(words: DataFrame, cfg: Scan) -> DataFrame:
+    """``(h, v)``: each skeleton's most frequent form, where it is frequent enough to be anything's right form."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(f"{i} {k}", n, w) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(w) > 1 and not NUMBER.fullmatch(w) for i, k in enumerate(skeletons(w))]
+            c = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string())], names=["k", "n", "w"])
 
-    return docs.select("heading", "chunk").mapInArrow(scan, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    forms = words.filter(F.col("n") >= cfg.ratio).select("key", "n").mapInArrow(scan, "k string, n bigint, w string")
+    return forms.groupBy("k").agg(F.max(F.struct("n", "w")).alias("m")).select(_hashed(F.col("k")).alias("h"), F.col("m.w").alias("v"))
 
 
 def learn(docs: DataFrame, cfg: Scan) -> Lexicon:
     counts = cut(_counts(docs), "counts")
-    total = {r[0]: r[1] for r in counts.groupBy("kind").agg(F.sum("n")).collect()}
-    enough = lambda kind, least: counts.filter((F.col("kind") == kind) & (F.col("n") >= max(least, cfg.least_share * total.get(kind, 0))))
-    words = {r["key"]: r["n"] for r in enough("w", 1).select("key", "n").collect()}  # at most 1 / least_share rows each
-    headings = {r["key"]: r["n"] for r in enough("h", 2).select("key", "n").collect()}
-    lines = counts.filter((F.col("kind") == "l") & (F.col("key") != "")).filter(F.col("n") + F.col("strong") >= max(cfg.least_lines, cfg.least_share * total.get("l", 0)))
-    titles = {r["key"] for r in lines.filter(F.col("strong") >= 1).select("key").collect()}
-    lex = Lexicon(words, titles, headings, cfg)
-    names = sorted(words)
-    pairs = _pair_counts(docs, names)
-    all_pairs = sum(words.values())
-    lex.pairs = np.array(sorted(r[0] for r in pairs.filter(F.col("n") >= max(1, cfg.least_share * all_pairs)).select("pair").collect()), np.int64)
-    return lex
+    spark, of = docs.sparkSession, lambda kind: counts.filter(F.col("kind") == kind)
+    h = _hashed(F.col("key")).alias("h")
+    lines = of("l").filter((F.col("key") != "") & (F.col("n") + F.col("strong") >= cfg.least_lines) & (F.col("strong") >= 1))
+    return Lexicon(
+        Stored(spark, "words", of("w").select(h, F.col("n").alias("v"))),
+        Stored(spark, "main", _main_forms(of("w"), cfg)),
+        Stored(spark, "pairs", _pairs(docs)),
+        Stored(spark, "titles", lines.select(h)),
+        Stored(spark, "headings", of("h").filter("n >= 2").select(h, F.col("n").alias("v"))),
+        cfg,
+    )
 
 
 class Reader:

@@ -36,3 +36,10 @@ def test_page_forms():
     yes = ["[12]", "- 7 -", "– 8 –", "12 |", "Page 3 of 90", "xiv", "p. 9"]
     no = ["12.5", "2023", "mild", "Page", "| 3 | 4 |", "in 2023"]
     assert all(map(scans.is_dressed_page, yes)) and not any(map(scans.is_dressed_page, no))
+
+
+def test_rare_words_of_a_large_corpus_keep_their_counts(spark):
+    rows = [(f"f{i:02d}", "d", "1", "Filler", "filler " * 100_000, "a") for i in range(35)]
+    rows += [(f"r{i:02d}", "d", "1", "Rare", "near the barn stood", "a") for i in range(30)]
+    rows += [(f"w{i}", "d", "1", "Rare", "he said bam loudly", "a") for i in range(3)]  # a word of its own, a tenth as frequent
+    assert scans.found(spark.createDataFrame([(*r, "k", 1, "z") for r in rows], COLS)).filter("kind = 'misread'").count() == 0
