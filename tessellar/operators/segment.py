@@ -129,6 +129,36 @@ def pack_sentences(df: DataFrame, most: int, keys: list[str], text: str) -> Data
     return x.select(*keys, "chunk_no", F.col("p.n").alias("n_words"), F.col("p.s").alias("chunk"))
 
 
+def split_long(sentences: Column, most: int) -> Column:
+    """Sentences of more than ``most`` words cut into windows of that many, the others as they are."""
+
+    def windows(x: Column) -> Column:
+        w = F.split(x, " ")
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(most)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(most)), " "))
+
+    return F.flatten(F.transform(sentences, windows))
+
+
+def chunks_and_tables(df: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, chunk_no, kind, n_words, chunk)``: the text without its tables packed into chunks of at most ``most`` words,
+    longer sentences cut into windows, and behind them each table as a chunk of its own, whatever its length. Null texts
+    have none."""
+    t = F.concat(F.col(text), F.lit("\n"))  # the last line may be a table's
+    own = F.transform(F.regexp_extract_all(t, F.lit(TABLE), 0), lambda x: F.struct(F.lit("table").alias("kind"), F.size(F.split(F.trim(x), r"\s+")).alias("n"), F.rtrim(F.regexp_replace(x, r"\n$", "")).alias("s")))
+    rest = F.transform(pack(split_long(T.sentences(F.regexp_replace(t, TABLE, "")), most), most), lambda p: F.struct(F.lit("text").alias("kind"), p["n"].alias("n"), p["s"].alias("s")))
+    x = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.concat(rest, own)).alias("chunk_no", "p"))
+    return x.select(key, "chunk_no", "p.kind", F.col("p.n").alias("n_words"), F.col("p.s").alias("chunk"))
+
+
+def stitched(df: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, text)``: the first occurrence of each page in ``wanted`` (``key, page_no``), in the document's order, a newline
+    behind each. Documents without any of their wanted pages have no row."""
+    w = Window.partitionBy(key, "page_no").orderBy("ord")
+    p = split_pages(df, key, text, keep_preamble=False).join(wanted.select(key, "page_no"), [key, "page_no"], "left_semi")
+    p = p.withColumn("r", F.row_number().over(w)).filter("r = 1").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "page_text"))).alias("ps"))
+    return p.select(key, F.array_join(F.transform("ps", lambda x: F.concat(F.regexp_replace(x["page_text"], r"^\s+|\s+$", ""), F.lit("\n"))), "").alias(text))
+
+
 def with_overlap(chunks: DataFrame, keys: list[str], sentences: int) -> DataFrame:
     """Each chunk behind the last ``sentences`` sentences of the chunk before it."""
     w = Window.partitionBy(*keys).orderBy("chunk_no")

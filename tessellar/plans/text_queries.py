@@ -97,6 +97,10 @@ def word_windows(s, d):
     return G.word_windows(_t(s, d), 125).select("doc_id", "pos", F.md5("window").alias("digest"))
 
 
+def chunks_and_tables(s, d):
+    return G.chunks_and_tables(_t(s, d), 200).select("doc_id", "chunk_no", "kind", "n_words", F.md5("chunk").alias("digest"))
+
+
 def pack_sentences(s, d):
     return G.pack_sentences(_t(s, d), 200, ["doc_id"], "text").select("doc_id", "chunk_no", "n_words", F.md5("chunk").alias("digest"))
 
@@ -213,4 +217,4 @@ for _name, _kinds in {
     "breakpoint_chunker": {"segment": "BIGINT"},
 }.items():
     SQL[_name] = typed(SQL[_name], **_kinds)
-QUERIES = {f.__name__: f for f in (tokens_per_doc, preprocess_text, fragments, keyword_presence, keyword_hits, smart_truncate, names, page_spellings, answers, sentence_context_window, split_pages_d01, split_pages_d02, line_page_map, sections, heading_context_asof, tables_extract, word_windows, pack_sentences, pack_by_heading, chunk_overlap, page_chunker_semantic, breakpoint_chunker, ingest_stats, hype_weighted_embedding, incremental_antijoin)}
+QUERIES = {f.__name__: f for f in (tokens_per_doc, preprocess_text, fragments, keyword_presence, keyword_hits, smart_truncate, names, page_spellings, answers, sentence_context_window, split_pages_d01, split_pages_d02, line_page_map, sections, heading_context_asof, tables_extract, word_windows, chunks_and_tables, pack_sentences, pack_by_heading, chunk_overlap, page_chunker_semantic, breakpoint_chunker, ingest_stats, hype_weighted_embedding, incremental_antijoin)}

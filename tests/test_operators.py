@@ -176,3 +176,17 @@ def test_coverage_of_all_pairs_against_sql(spark, tiny, name):
     key = lambda rows: sorted(tuple(round(float(x), 6) if not isinstance(x, str) else x for x in r) for r in rows)
     want = key(cur.fetchall())
     assert key(entry.queries()[name](spark, tiny).select(*names).collect()) == want and want
+
+
+def test_tables_and_long_sentences_reach_chunks(spark):
+    d = spark.createDataFrame([(1, "One two three. |x\n| a | b |\n| 1 | 2 |\nw1 w2 w3 w4 w5 w6 w7.\n| z |"), (2, None), (3, "")], "doc_id bigint, text string")
+    got = rows(segment.chunks_and_tables(d, 4))
+    assert [r[2] for r in got] == ["text"] * (len(got) - 2) + ["table"] * 2 and {r[0] for r in got} == {1}
+    assert [r[4] for r in got[-2:]] == ["| a | b |\n| 1 | 2 |", "| z |"]
+    assert all(r[3] <= 4 for r in got[:-2]) and " ".join(r[4] for r in got[:-2]) == "One two three. |x w1 w2 w3 w4 w5 w6 w7."
+
+
+def test_first_occurrences_of_pages(spark):
+    d = spark.createDataFrame([(1, "### Page 1 ###\na\n### Page 2 ###\nb\n### Page 2 ###\nc\n### Page 3 ###\nd"), (2, "plain"), (3, None)], "doc_id bigint, text string")
+    w = spark.createDataFrame([(1, 3), (1, 2), (1, 2), (1, 9), (2, 5)], "doc_id bigint, page_no int")
+    assert rows(segment.stitched(d, w)) == [(1, "### Page 2 ###\nb\n### Page 3 ###\nd\n")]
