@@ -34,6 +34,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def prefix_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to the ``n``-th."""
+    return _powers(int(BASE), n), _powers(_inverse(int(BASE)), n)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word of the batch in order, and the ``len(texts) + 1`` offsets of the rows' words."""
     n = len(texts)
@@ -53,9 +58,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(inside & ~after) + 1
     h = np.zeros(len(starts), np.uint64)
     if len(starts):
-        up = _powers(int(BASE), len(raw))
+        up, down = prefix_powers(len(raw))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
-        down = _powers(_inverse(int(BASE)), len(raw))
         h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     return h, np.searchsorted(starts, off, side="left")
 
