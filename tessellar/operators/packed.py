@@ -16,15 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Byte classes of the cell grammar. The scan reads UTF-8, so multi-byte marks are folded first.
+# Byte classes of the cell grammar. For the masks alone, each multi-byte mark counts as one byte.
 BLANK = b" \t\n\r\x0b\x0c"
 HARD = b",;|\t\n\r"
 SOFT = b"/-"
-#: multi-byte marks and the single control bytes that stand for them while a batch is scanned
-FOLD = {"\u201c": b"\x01", "\u201e": b"\x01", "\u201d": b"\x02", "\u00ab": b"\x03", "\u00bb": b"\x04", "\u2018": b"\x05", "\u2022": b"\x06", "\u00b7": b"\x07", "\u25aa": b"\x06", "\u25e6": b"\x06", "\u2023": b"\x06", "\u2013": b"\x0e", "\u2014": b"\x0f", "\uff1b": b";", "\uff0c": b",", "\u00a0": b" "}
-#: opening byte -> closing byte
-QUOTES = {0x22: 0x22, 0x27: 0x27, 0x01: 0x02, 0x03: 0x04, 0x05: 0x19, 0x60: 0x60}
-UNFOLD = {0x01: "\u201c", 0x02: "\u201d", 0x03: "\u00ab", 0x04: "\u00bb", 0x05: "\u2018", 0x06: "\u2022", 0x07: "\u00b7", 0x0E: "\u2013", 0x0F: "\u2014", 0x19: "\u2019"}
+#: multi-byte marks and the single bytes that stand for them in the masks; values are cut from the cell as it is
+FOLD = {"\u201c": 0x01, "\u201d": 0x02, "\u00ab": 0x03, "\u00bb": 0x04, "\u2018": 0x05, "\u2022": 0x06, "\u25aa": 0x06, "\u25e6": 0x06, "\u2023": 0x06, "\u00b7": 0x07, "\u201e": 0x08, "\u2013": 0x0E, "\u2014": 0x0F, "\u201a": 0x10, "\u2019": 0x19, "\uff1b": 0x3B, "\uff0c": 0x2C, "\u00a0": 0x20}
+#: opening byte -> closing bytes; low marks open German quotes, which a high opening mark closes
+QUOTES = {0x22: (0x22,), 0x27: (0x27,), 0x60: (0x60,), 0x01: (0x02,), 0x08: (0x01, 0x02), 0x03: (0x04,), 0x04: (0x03,), 0x05: (0x19,), 0x10: (0x05, 0x19)}
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -35,7 +34,26 @@ def _table(chars: bytes) -> np.ndarray:
 
 _BLANK, _HARD, _SOFT, _DIGIT = _table(BLANK), _table(HARD), _table(SOFT + b"\x0e\x0f\x07"), _table(b"0123456789")
 _BULLET = _table(b"*\x06\x07-\x0e\x0f")
-_UNFOLD = {k: v.encode() for k, v in UNFOLD.items()}
+_CONTROL = np.arange(256) < 32
+_CONTROL[np.frombuffer(BLANK, np.uint8)] = False
+
+
+def _folded(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes as the masks see them, and which of them count: of a multi-byte mark only the first. Control bytes of the
+    text itself are ordinary characters."""
+    out = np.where(_CONTROL[raw], np.uint8(0x78), raw)
+    keep = np.ones(len(raw), bool)
+    for mark, byte in FOLD.items():
+        m = np.frombuffer(mark.encode(), np.uint8)
+        if len(raw) >= len(m):
+            at = raw[: len(raw) - len(m) + 1] == m[0]
+            for i in range(1, len(m)):
+                at &= raw[i : len(raw) - len(m) + 1 + i] == m[i]
+            at = np.flatnonzero(at)
+            out[at] = byte
+            for i in range(1, len(m)):
+                keep[at + i] = False
+    return out, keep
 
 
 def _next_at(mask: np.ndarray) -> np.ndarray:
@@ -57,18 +75,16 @@ def _skip_left(b: np.ndarray, lo: np.ndarray, hi: np.ndarray, nonblank_next: np.
 def split_batch(cells: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
     """Parents' ordinals of the flattened keywords, and the list array of keywords of each cell (an empty list for
     null, blank and separator-only cells)."""
-    import pyarrow.compute as pc
-
     cells = cells.cast(pa.large_string()).fill_null("")
-    for mark, byte in FOLD.items():
-        cells = pc.replace_substring(cells, mark, byte.decode("latin-1"))
-    cells = pc.replace_substring(cells, "\u2019", "\x19")
     if isinstance(cells, pa.ChunkedArray):
         cells = cells.combine_chunks()
     n = len(cells)
-    off = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset : cells.offset + n + 1]
-    raw = np.frombuffer(cells.buffers()[2] or b"", np.uint8)[off[0] : off[-1]] if n else np.zeros(0, np.uint8)
-    off = off - (off[0] if n else 0)
+    off = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset : cells.offset + n + 1] if n else np.zeros(1, np.int64)
+    text = np.frombuffer(cells.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    raw, kept = _folded(text)
+    source = np.append(np.flatnonzero(kept), len(text))  # where a byte of the masks stands in the text
+    off = np.concatenate(([0], np.cumsum(kept)))[off - off[0]]
+    raw = raw[kept]
     # one separator byte behind every cell, so that no look-around crosses a cell
     size = len(raw) + n
     b = np.full(size, 0x0A, np.uint8)
@@ -111,9 +127,9 @@ def split_batch(cells: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
     at_close = sep_or_edge[np.minimum(after, size - 1)] | (b[np.minimum(after, size - 1)] == 0x5D) | hard[np.minimum(np.arange(size) + 1, size - 1)]
     cell_end = np.repeat(end, np.diff(np.concatenate((start, [size]))))
     opener, closer_of = np.zeros(size, bool), np.full(size, size, np.int64)
-    for o, c in QUOTES.items():
+    for o, cs in QUOTES.items():
         is_o = (b == o) & at_entry & ~escaped
-        is_c = (b == c) & ~escaped & at_close
+        is_c = np.isin(b, cs) & ~escaped & at_close
         if o == 0x22:  # a doubled quote inside quotes is an escaped one: it is no closing mark
             is_c &= ~_doubled(b, is_o)
         nc = np.concatenate((_next_at(is_c)[1:], [size]))
@@ -155,14 +171,14 @@ def split_batch(cells: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
     lo, hi = _trim(b, lo, hi)
     # quotes around
     quote = np.zeros(len(lo), np.uint8)
-    for o, c in QUOTES.items():
-        hit = (hi - lo >= 2) & (b[np.minimum(lo, size - 1)] == o) & (b[np.maximum(hi - 1, 0)] == c) & ~escaped[np.maximum(hi - 1, 0)]
+    for o, cs in QUOTES.items():
+        hit = (hi - lo >= 2) & (b[np.minimum(lo, size - 1)] == o) & np.isin(b[np.maximum(hi - 1, 0)], cs) & ~escaped[np.maximum(hi - 1, 0)]
         quote[hit] = o
         lo, hi = np.where(hit, lo + 1, lo), np.where(hit, hi - 1, hi)
     lo, hi = _trim(b, lo, hi)
     full = hi > lo
     parent = np.searchsorted(end, cut[full], side="left")
-    values = _take(b, lo[full], hi[full], quote[full])
+    values = _take(text, source[lo[full] - parent], source[hi[full] - parent], quote[full])
     counts = np.bincount(parent, minlength=n)
     offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
     return parent, pa.ListArray.from_arrays(offsets, values)
@@ -210,7 +226,7 @@ def _trim(b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _take(b: np.ndarray, lo: np.ndarray, hi: np.ndarray, quote: np.ndarray) -> pa.Array:
-    """The byte ranges as strings, with escapes undone inside the quotes they belong to and folded marks restored."""
+    """The byte ranges as strings, with escapes undone inside the quotes they belong to."""
     import pyarrow.compute as pc
 
     length = hi - lo
@@ -222,8 +238,6 @@ def _take(b: np.ndarray, lo: np.ndarray, hi: np.ndarray, quote: np.ndarray) -> p
     out = pc.if_else(pa.array(quote == 0x22), double, out)
     bare = pc.replace_substring_regex(out, r"\\([\"'\\\x60])", r"\1")
     out = pc.if_else(quoted, bare, out)
-    for byte, mark in UNFOLD.items():
-        out = pc.replace_substring(out, chr(byte), mark)
     return out.cast(pa.string())
 
 

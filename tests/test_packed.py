@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessellar.operators.packed import split_batch, split_packed
+from tessellar.operators.packed import FOLD, split_batch, split_packed
 
 CASES = [
     ("a,b", ["a", "b"]),
@@ -19,6 +19,13 @@ CASES = [
     ("women's, shareholders' rights, 'a, b'", ["women's", "shareholders' rights", "a, b"]),
     ("  a ,, a , ", ["a", "a"]),
     ("“open, b", ["“open", "b"]),
+    ("„Basel III“; b", ["Basel III", "b"]),
+    ("(„Basel“ rules), „a, b”", ["(„Basel“ rules)", "a, b"]),
+    ("»a; b«, «c, d»", ["a; b", "c, d"]),
+    ("‚a, b‘; ‘c, d’", ["a, b", "c, d"]),
+    ("x\x04y, z\x01", ["x\x04y", "z\x01"]),
+    ("a\u00a0b,\u00a0c\u00a0; d，e", ["a\u00a0b", "c", "d", "e"]),
+    ("▪ a\n◦ b ‣ c\n(x，y) z", ["a", "b", "c", "(x，y) z"]),
     ("", []),
     (" ;,| \n", []),
     (None, []),
@@ -46,6 +53,14 @@ def test_round_trip(rows):
         assert split_batch(pa.array(cells, pa.string()))[1].to_pylist() == rows
 
 
+def test_marks_inside_values_stay_as_they_are():
+    for mark in FOLD:
+        if mark not in "•▪◦‣，；":
+            assert split_batch(pa.array([f"p{mark}q, r"]))[1].to_pylist() == [[f"p{mark}q", "r"]], mark
+        assert split_batch(pa.array([f'"p{mark}q, r"; s']))[1].to_pylist() == [[f"p{mark}q, r", "s"]], mark
+        assert split_batch(pa.array([f"(p{mark}q) r"]))[1].to_pylist() == [[f"(p{mark}q) r"]], mark
+
+
 def test_long_cell_and_batch_of_none():
     long = "; ".join(f"k{i}" for i in range(20_000))
     assert len(split_batch(pa.array([long]))[1][0]) == 20_000
