@@ -1,8 +1,7 @@
-"""All queries by name. Modules that need an optional subpackage are added where it is there."""
+"""All queries of the core by name."""
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,22 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tessellar.plans import extras, packed_fields, quality, reports, retrieval, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-CORE = (packed_fields, text_queries, retrieval, quality, reports, extras)
-
-
-def _modules() -> list:
-    out = list(CORE)
-    try:
-        out.append(importlib.import_module("tessellar.llm.queries"))
-    except ModuleNotFoundError as e:
-        if not (e.name or "").startswith("tessellar.llm"):
-            raise
-    return out
+MODULES = (packed_fields, text_queries, retrieval, quality, reports, extras)
 
 
 def queries() -> dict[str, Query]:
-    return {k: q for m in _modules() for k, q in m.QUERIES.items()}
+    return {k: q for m in MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _modules() for k, s in m.SQL.items()}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -29,24 +30,41 @@ def get_session(app: str = "tessellar", cpus: str | int = "*", **conf: str) -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Where none is set, a local session (as in tests)
+    gets a temporary one; a cluster must name one, as its nodes share no temporary folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = held.get() if held.isDefined() else None
     if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="tessellar-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        folder = tempfile.mkdtemp(prefix="tessellar-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        d = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+#: tables of ``cut`` that are still there, with the session that wrote them
+_written: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write a frame to the shared checkpoint folder and read it back: lineage ends there and executors may be lost."""
+    """Write a frame to the shared checkpoint folder and read it back: lineage ends there and executors may be lost.
+    ``release`` deletes what was written."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_folder(path: str) -> None:
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+def release() -> int:
+    """Deletes the tables ``cut`` has written so far, once no frame that reads them is needed; their number."""
+    n = 0
+    while _written:
+        spark, path = _written.pop()
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        n += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n

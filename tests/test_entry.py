@@ -1,4 +1,4 @@
-import importlib
+import pathlib
 import sys
 
 import duckdb
@@ -12,8 +12,14 @@ DATA = "/root/testdata/sf0.001"
 
 def test_core_stands_without_the_subpackage(monkeypatch):
     monkeypatch.setitem(sys.modules, "tessellar.llm.queries", None)
-    names = importlib.import_module("tessellar.plans.registry").queries()
-    assert "p1_found" in names and "p5_found" not in names
+    assert "p1_found" in entry.queries() and "p5_found" not in entry.queries() and "p5_found" not in entry.oracle_sql()
+
+
+def test_core_never_imports_the_subpackage():
+    root = pathlib.Path(entry.__file__).parent / "tessellar"
+    for f in root.rglob("*.py"):
+        if "llm" not in f.relative_to(root).parts:
+            assert "tessellar.llm" not in f.read_text(), f
 
 
 def test_entry(spark):
