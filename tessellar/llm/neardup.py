@@ -9,8 +9,10 @@ symbol. Pairs that meet are verified over the complete fingerprint, and what pas
 With 12 segments of 5 symbols a pair at the very threshold of 0.6 meets in some table with probability 0.993, one at
 0.65 with 0.999, one at 0.8 with more than 0.9999.
 
-Texts with equal shingle sets form a class; only one representative of it goes through the tables, so no group of copies,
-however large, makes a hot key.
+Texts with equal shingle sets form a class, found by a hash of the set and not through the tables; only one representative
+of it goes through them, so no group of copies, however large, makes a hot key. A key that many different texts share, as
+boilerplate gives, is cut into blocks of ids: each pair of blocks is a task's work of fixed size, in which complete
+fingerprints are compared before a pair is written.
 """
 
 from __future__ import annotations
@@ -37,9 +39,10 @@ class Index:
     width: int = 5  # symbols of a segment
     #: standard deviations below the expected matches at the threshold that the complete distance may lie
     slack: float = 5.0
-    #: classes of equal texts up to this size are written out as pairs; the members of a larger one are each paired with
-    #: its representative
-    expand: int = 1000
+    block: int = 500  # ids of a table key that are paired at once; keys of more go by pairs of blocks
+    #: inner pairs of classes of equal shingle sets up to this size are all written out; the copies of a larger one are each
+    #: paired with its representative. Links to other classes are written out whatever the sizes.
+    expand: int = 10_000
 
     @property
     def symbols(self) -> int:
@@ -117,50 +120,83 @@ def _table_keys(ix: Index):
     return scan
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of ids within runs of equal keys; a run may cross batches, of which only its ids are kept."""
-    last, held = None, np.zeros(0, np.int64)
-
-    def crossed(old: np.ndarray, new: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
-            for j in range(0, len(old), 1000):
-                a, b = np.repeat(old[j : j + 1000], len(part)), np.tile(part, len(old[j : j + 1000]))
-                yield pair(a, b)
-            x, y = np.triu_indices(len(part), 1)
-            yield pair(part[x], part[y])
-            old = np.concatenate((old, part))
-
-    def pair(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    for batch in batches:
-        key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        size = np.diff(edge)
-        first = edge[1]
-        if key[0] == last:
-            yield from crossed(held, ids[:first])
-        if len(size) > 1:
+def _meetings(limit: int):
+    """``(a, b, key, block)``: pairs of ids within runs of equal keys. Of a run of more than ``limit`` the ids alone, each
+    with its block. A run may cross batches; of it at most ``limit`` ids are kept."""
+
+    def rows(a: np.ndarray, b: np.ndarray | None, key: int | None, block: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        first, second = (pa.array(a), none) if b is None else (pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)))
+        keys = none if key is None else pa.array(np.full(len(a), key, np.int64))
+        return pa.RecordBatch.from_arrays([first, second, keys, none if block is None else pa.array(block)], names=["a", "b", "key", "block"])
+
+    def inner(ids: np.ndarray) -> pa.RecordBatch:
+        x, y = np.triu_indices(len(ids), 1)
+        return rows(ids[x], ids[y], None, None)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, gone = None, np.zeros(0, np.int64), 0  # the open run: its ids, or how many of a long one are out
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not gone and len(held) > 1:
+                yield inner(held)
+
+        def more(ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal held, gone
+            held = np.concatenate((held, ids))
+            if gone or len(held) > limit:
+                yield rows(held, None, last, (gone + np.arange(len(held))) // limit)
+                held, gone = held[:0], gone + len(held)
+
+        for batch in batches:
+            key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            size = np.diff(edge)
+            if key[0] != last:
+                yield from close()
+                last, held, gone = key[0], held[:0], 0
+            yield from more(ids[: edge[1]])
+            if len(size) == 1:
+                continue
+            yield from close()
             # pairs of neighbours are by far the most frequent; longer runs are taken one by one
-            inner = np.flatnonzero(size[1:-1] == 2) + 1
-            a, b = ids[edge[inner]], ids[edge[inner] + 1]
-            yield pair(a, b)
+            two = np.flatnonzero(size[1:-1] == 2) + 1
+            yield rows(ids[edge[two]], ids[edge[two] + 1], None, None)
             for r in np.flatnonzero(size[1:-1] > 2) + 1:
-                yield from crossed(np.zeros(0, np.int64), ids[edge[r] : edge[r + 1]])
-            if key[0] != last:
-                yield from crossed(np.zeros(0, np.int64), ids[:first])
-            tail = ids[edge[-2] :]
-            yield from crossed(np.zeros(0, np.int64), tail)
-            last, held = key[-1], tail
-        else:
-            if key[0] != last:
-                yield from crossed(np.zeros(0, np.int64), ids)
-                last, held = key[0], ids
-            else:
-                held = np.concatenate((held, ids))
+                last, held, gone = key[edge[r]], held[:0], 0
+                yield from more(ids[edge[r] : edge[r + 1]])
+                yield from close()
+            last, held, gone = key[-1], held[:0], 0
+            yield from more(ids[edge[-2] :])
+        yield from close()
+
+    return scan
+
+
+def _block_pairs(hot: DataFrame, prints: DataFrame, ix: Index) -> DataFrame:
+    """``(a, b)`` of the ids of long runs, by pairs of blocks, whose fingerprints are alike enough."""
+    blocks = hot.groupBy("key").agg(F.max("block").alias("top"))
+    h = hot.join(blocks, "key").join(prints.select(F.col("id").alias("a"), "fp"), "a")
+    one = h.select("key", F.col("block").alias("x"), F.explode(F.sequence("block", "top")).alias("y"), F.lit(0).alias("side"), "a", "fp")
+    two = h.filter("block > 0").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "a", "fp")
+
+    def compare(t: pa.Table) -> pa.Table:
+        side, ids = t.column("side").to_numpy(), t.column("a").to_numpy()
+        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint16).reshape(len(ids), ix.symbols)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = t.column("x")[0].as_py() == t.column("y")[0].as_py()
+        a, b = [], []
+        for i in left if len(right) or same else ():
+            other = left[left > i] if same else right
+            near = other[(fp[other] == fp[i]).sum(axis=1) >= ix.least_matches]
+            a.append(np.full(len(near), ids[i]))
+            b.append(ids[near])
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return one.unionAll(two).groupBy("key", "x", "y").applyInArrow(compare, "a bigint, b bigint")
 
 
 def _verify_distance(ix: Index):
@@ -196,7 +232,9 @@ def class_links(prints: DataFrame, ix: Index) -> tuple[DataFrame, DataFrame]:
     own = prints.select("id", "fp", "shingles").join(reps.select(F.col("rep").alias("id")), "id")
     keys = own.select("id", "fp").mapInArrow(_table_keys(ix), "key bigint, id bigint")
     width = max(12, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    met = keys.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_meetings, "a bigint, b bigint").distinct()
+    runs = cut(keys.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_meetings(ix.block), "a bigint, b bigint, key bigint, block bigint"), "runs")
+    met = runs.filter("b IS NOT NULL").select("a", "b").distinct()
+    hot = runs.filter("b IS NULL").select("key", "a", "block")
 
     def both(pairs: DataFrame, column: str) -> DataFrame:
         side = prints.select("id", column)
@@ -204,7 +242,8 @@ def class_links(prints: DataFrame, ix: Index) -> tuple[DataFrame, DataFrame]:
         p = p.join(side.withColumnRenamed("id", "b").withColumnRenamed(column, "y"), "b")
         return p.select("a", "b", "x", "y")
 
-    near = cut(both(met, "fp").mapInArrow(_verify_distance(ix), "a bigint, b bigint"), "near")
+    near = both(met, "fp").mapInArrow(_verify_distance(ix), "a bigint, b bigint")
+    near = cut(near if hot.isEmpty() else near.unionAll(_block_pairs(hot, prints, ix)).distinct(), "near")
     links = both(near, "shingles").mapInArrow(_verify_jaccard(ix), "a bigint, b bigint, jaccard double")
     return members, cut(links, "links")
 
@@ -213,34 +252,43 @@ def near_pairs(df: DataFrame, key: str = "chunk_id", text: str = "chunk", ix: In
     """``(key_a, key_b, jaccard)``, a < b, of the keys whose texts' shingle sets are at least ``threshold`` alike.
 
     Null keys and null texts take no part, nor do texts of fewer words than a shingle; rows with the same key count once
-    (of differing texts the greatest); an empty table gives no pair. Only the two columns named are read.
+    (of differing texts the greatest); an empty table gives no pair. Only the two columns named are read. Classes of more
+    than ``expand`` equal sets have copy-representative pairs in place of all inner pairs (``near_groups`` counts all).
     """
     ix = ix or Index()
     members, links = class_links(fingerprints(df, key, text, ix), ix)
-    m = members.select("rep", "k", "n")
-    first = members.filter("id = rep").select("rep", F.col("k").alias("rk"))
-    # of a class beyond the limit only the representative is linked to other classes
-    ends = members.filter((F.col("n") <= ix.expand) | (F.col("id") == F.col("rep")))
-    across = links.join(ends.select(F.col("rep").alias("a"), F.col("k").alias("ka")), "a").join(ends.select(F.col("rep").alias("b"), F.col("k").alias("kb")), "b")
-    copies = m.filter(F.col("n") > 1)
+    # members by blocks, so that no pair of large classes is one task's work
+    parts = F.ceil(F.col("n") / ix.block).cast("int")
+    m = members.select("rep", "k", "n", F.pmod(F.xxhash64("k"), parts).cast("int").alias("at"))
+    sizes = members.filter("id = rep").select("rep", parts.alias("parts"))
+    cells = links.join(sizes.select(F.col("rep").alias("a"), F.col("parts").alias("pa")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("parts").alias("pb")), "b")
+    cells = cells.select("a", "b", "jaccard", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)).alias("x"), "pb").select("a", "b", "jaccard", "x", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("y"))
+    left, right = (m.select(F.col("rep").alias(r), F.col("at").alias(at), F.col("k").alias(k)) for r, at, k in (("a", "x", "ka"), ("b", "y", "kb")))
+    across = cells.join(left, ["a", "x"]).join(right, ["b", "y"])
+    copies = m.filter(F.col("n") > 1).withColumn("top", parts - 1)
     small = copies.filter(F.col("n") <= ix.expand)
-    within = small.select("rep", F.col("k").alias("ka")).join(small.select("rep", F.col("k").alias("kb")), "rep").filter("ka < kb")
+    one = small.select("rep", F.col("at").alias("x"), F.explode(F.sequence("at", "top")).alias("y"), F.col("k").alias("ka"))
+    two = small.select("rep", F.explode(F.sequence(F.lit(0), "at")).alias("x"), F.col("at").alias("y"), F.col("k").alias("kb"))
+    within = one.join(two, ["rep", "x", "y"]).filter("x < y OR ka < kb")
+    first = members.filter("id = rep").select("rep", F.col("k").alias("rk"))
     star = copies.filter(F.col("n") > ix.expand).join(first, "rep").filter("k <> rk").select(F.col("k").alias("ka"), F.col("rk").alias("kb"))
-    one = F.lit(1.0).alias("jaccard")
-    out = across.select("ka", "kb", "jaccard").unionByName(within.select("ka", "kb", one)).unionByName(star.select("ka", "kb", one))
+    same = F.lit(1.0).alias("jaccard")
+    out = across.select("ka", "kb", "jaccard").unionByName(within.select("ka", "kb", same)).unionByName(star.select("ka", "kb", same))
     return out.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"), "jaccard")
 
 
 def near_groups(df: DataFrame, key: str = "chunk_id", text: str = "chunk", ix: Index | None = None) -> DataFrame:
     """``(key, group_id, n_links)``: one row for each key with a shingle set; the group is named by its least key.
 
-    ``n_links`` counts the links of the key's class to other classes plus its equal copies. A text without a partner is a
-    group of its own.
+    ``n_links`` counts the keys whose texts are at least ``threshold`` alike, equal copies among them. A text without a
+    partner is a group of its own.
     """
     ix = ix or Index()
     members, links = class_links(fingerprints(df, key, text, ix), ix)
     comp = components(links.select("a", "b"))
-    both = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("d"))
+    size = members.filter("id = rep").select("rep", "n")
+    both = links.select(F.col("a").alias("to"), F.col("b").alias("rep")).unionAll(links.select(F.col("b").alias("to"), F.col("a").alias("rep")))
+    both = both.join(size, "rep").groupBy(F.col("to").alias("rep")).agg(F.sum("n").alias("d"))
     m = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(both, "rep", "left")
     m = m.withColumn("root", F.coalesce("root", "rep"))
     names = m.groupBy("root").agg(F.min("k").alias("group_id"))
@@ -251,12 +299,19 @@ def found(pool: DataFrame) -> DataFrame:
     return near_pairs(pool).select("chunk_id_a", "chunk_id_b")
 
 
-FOUND_SQL = """
-WITH c AS (SELECT chunk_id, max(chunk) AS t FROM pool_candidates WHERE chunk_id IS NOT NULL AND chunk IS NOT NULL GROUP BY 1),
+_LINKS = """
+     c AS (SELECT chunk_id, max(chunk) AS t FROM pool_candidates WHERE chunk_id IS NOT NULL AND chunk IS NOT NULL GROUP BY 1),
      w AS (SELECT chunk_id, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM c),
      g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
      n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
-     p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
-SELECT p.a AS chunk_id_a, p.b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = p.a JOIN n y ON y.chunk_id = p.b
-WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9
+     p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2),
+     l AS (SELECT p.a, p.b FROM p JOIN n x ON x.chunk_id = p.a JOIN n y ON y.chunk_id = p.b WHERE k >= 0.6 * (x.n + y.n - k) - 1e-9)"""
+
+FOUND_SQL = f"WITH {_LINKS} SELECT a AS chunk_id_a, b AS chunk_id_b FROM l"
+
+GROUPS_SQL = f"""
+WITH RECURSIVE {_LINKS},
+     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r AS (SELECT chunk_id AS node, chunk_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT r.node AS chunk_id, min(r.root) AS group_id, (SELECT count(*) FROM e WHERE e.a = r.node) AS n_links FROM r GROUP BY 1
 """

@@ -31,4 +31,4 @@ QUERIES: dict[str, Query] = {
     "p5_groups": lambda s, d: neardup.near_groups(_t(s, d, "pool_candidates")),
 }
 
-SQL: dict[str, str] = {"p3_found": splitting.FOUND_SQL, "p2_found": topn.FOUND_SQL, "p5_found": neardup.FOUND_SQL, "p7_found": leakage.FOUND_SQL}
+SQL: dict[str, str] = {"p3_found": splitting.FOUND_SQL, "p2_found": topn.FOUND_SQL, "p5_found": neardup.FOUND_SQL, "p5_groups": neardup.GROUPS_SQL, "p7_found": leakage.FOUND_SQL}

@@ -61,9 +61,16 @@ def test_runs_across_batches():
     ids = np.arange(len(key), dtype=np.int64)
     want = {(i, j) for i in ids for j in ids if i < j and key[i] == key[j]}
     for step in (1, 2, 3, 5, 11):
-        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + step]), pa.array(ids[i : i + step])], names=["key", "id"]) for i in range(0, len(key), step)]
-        out = [p for b in neardup._meetings(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        assert set(out) == want and len(out) == len(want)
+        for limit in (2, 3, 4, 100):
+            batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + step]), pa.array(ids[i : i + step])], names=["key", "id"]) for i in range(0, len(key), step)]
+            out = [r for b in neardup._meetings(limit)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            pairs, hot = [r[:2] for r in out if r[1] is not None], [(r[2], r[0], r[3]) for r in out if r[1] is None]
+            long = {k for k in key if (key == k).sum() > limit}
+            assert set(pairs) == {p for p in want if key[p[0]] not in long} and len(pairs) == len(set(pairs))
+            assert sorted(h[:2] for h in hot) == [(k, i) for k, i in zip(key, ids, strict=True) if k in long]
+            for k in long:
+                blocks = [h[2] for h in hot if h[0] == k]
+                assert sorted(set(blocks)) == list(range(max(blocks) + 1)) and max(blocks.count(x) for x in blocks) <= limit
 
 
 def test_components(spark):
@@ -106,3 +113,30 @@ def test_leaks_of_copies_with_an_edit_every_eight_words(spark):
 def test_alignment():
     a, b = np.array([1, 2, 3, 9, 4, 5]), np.array([7, 1, 2, 3, 4, 5, 8])
     assert leakage.smith_waterman(a, b, leakage.Align()) == (8, 3, 0, 2)
+
+
+def test_links_are_those_of_all_members(spark):
+    """The number of links sums to twice the pairs, whatever the sizes of the classes on either side of a link."""
+    rnd = random.Random(4)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(150)]
+    near = [*base[:70], "new", *base[70:]]
+    rows = [(f"a{i:03d}", " ".join(base)) for i in range(40)] + [(f"b{i:03d}", " ".join(near)) for i in range(25)] + [("lone", " ".join(near[:140]))]
+    d = spark.createDataFrame(rows, "chunk_id string, chunk string")
+    for ix in (neardup.Index(), neardup.Index(block=7), neardup.Index(block=3, expand=10)):
+        pairs = {tuple(r)[:2] for r in neardup.near_pairs(d, ix=ix).collect()}
+        links = {r["chunk_id"]: r["n_links"] for r in neardup.near_groups(d, ix=ix).collect()}
+        want = brute_pairs(dict(rows))
+        if ix.expand > 40:
+            assert pairs == want and sum(links.values()) == 2 * len(want)
+        across = {p for p in want if p[0][0] != p[1][0]}
+        assert across <= pairs and links["lone"] == sum("lone" in p for p in want) and links["a000"] == sum("a000" in p for p in want)
+
+
+def test_boilerplate_does_not_make_one_task_all_work(spark):
+    """Different texts that share half their words fill table keys; these are cut into blocks and no pair is lost."""
+    rnd = random.Random(5)
+    same = [f"s{i}" for i in range(60)]
+    rows = {f"c{i:04d}": " ".join(same + [f"w{rnd.randint(0, 10**6)}" for _ in range(60)]) for i in range(600)}
+    rows |= {f"e{i:04d}": rows[f"c{i:04d}"] + " more words" for i in range(0, 600, 40)}
+    d = spark.createDataFrame(list(rows.items()), "chunk_id string, chunk string")
+    assert {tuple(r)[:2] for r in neardup.near_pairs(d, ix=neardup.Index(block=20)).collect()} == {(f"c{i:04d}", f"e{i:04d}") for i in range(0, 600, 40)}
