@@ -22,6 +22,9 @@ class PipelineConfig:
     keyword: float = 0.0
     dedupe: float = 0.9
     sort_by: str = "ultimate"
+    #: how the pool is ranked: by scaled scores, or by reciprocal ranks of lists (of subqueries too, or of the nearest)
+    fuse: str = "scores"
+    main: float = 0.0  # weight of the similarity to the main query where lists are fused
 
 
 # The presets in use.
@@ -36,5 +39,8 @@ PRESETS = {
     "heading_keyword": PipelineConfig(350, 150, 0, 40, (0.4, 0.3, 0.3), (0.2, 0.6, 0.2), context=1.0, heading=0.3, keyword=0.4, sentence=1.0),
     "keyword": PipelineConfig(300, 150, 0, 50, context=1.0, heading=0.3, sentence=1.0, sort_by="semantic"),
     "sparse_first": PipelineConfig(100, 60, 0, 30, context=1.0, sentence=1.0, sort_by="sentence_similarity"),
+    "rrf": PipelineConfig(80, 60, 0, 20, fuse="lists", context=0.0),
+    "multi_query": PipelineConfig(80, 50, 0, 30, fuse="subqueries", main=1.0, context=0.0),
+    "dense_first": PipelineConfig(80, 80, 0, 30, fuse="nearest", main=0.5, context=0.0),
     "mixture": PipelineConfig(50, 150, 0, 60, neural_mix=(0.3, 0.0, 0.7), sentence=0.3, dedupe=0.85),
 }

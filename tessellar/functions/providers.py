@@ -18,6 +18,17 @@ def share_of_query(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, T.terms(text))) / F.size(q)).otherwise(0.0)
 
 
+def cosine_of_terms(a: Column, b: Column) -> Column:
+    """Similarity 0..1 of two lists of terms: the cosine of the sets' indicator vectors; 0 where either is empty."""
+    x, y = F.array_distinct(a), F.array_distinct(b)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x) * F.size(y))).otherwise(0.0)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Similarity of two texts, null ones without terms."""
+    return cosine_of_terms(T.terms(a), T.terms(b))
+
+
 def matching_sentences(query: Column, text: Column) -> Column:
     """Sentences that share a term with the query, joined by `` | ``; the first 200 characters where none does."""
     hits = F.filter(T.sentences(text), lambda s: F.size(F.array_intersect(T.terms(s), T.terms(query))) > 0)
@@ -33,5 +44,6 @@ def hashed_vector(text: Column, size: int = 64) -> Column:
 @dataclass(frozen=True)
 class Providers:
     relevance: Callable[[Column, Column], Column] = field(default=share_of_query)
+    similarity: Callable[[Column, Column], Column] = field(default=similarity)
     extract: Callable[[Column, Column], Column] = field(default=matching_sentences)
     embed: Callable[[Column], Column] = field(default=hashed_vector)

@@ -146,12 +146,4 @@ SQL = {
     "hypothetical_questions": "WITH p AS (SELECT chunk_id, lower(trim(regexp_replace(max(heading), '\\s+', ' ', 'g'))) AS h FROM pool_candidates WHERE chunk_id IS NOT NULL GROUP BY 1) SELECT chunk_id, unnest(range(3))::INT AS n, unnest(['what is said on ' || h || '?', 'who is responsible for ' || h || '?', 'what figures stand for ' || h || '?']) AS question FROM p WHERE h NOT IN ('', 'nan', 'null', 'none', 'unknown', 'no heading')",
     "query_shares": "WITH p AS (SELECT candidate_id, r.* FROM (SELECT candidate_id, arg_max({'query': trim(query), 'chunk_id': chunk_id}, ingested_at) AS r FROM pool_candidates WHERE trim(query) <> '' GROUP BY 1)), x AS (SELECT query, count(*) AS n, count(DISTINCT chunk_id) AS chunks FROM p GROUP BY 1) SELECT query, n, chunks, round(n / sum(n) OVER (), 9) AS share FROM x",
 }
-_N = R._NAMES
-SQL["search_pipeline"] = f"""WITH {R._CAND}, x AS (SELECT * FROM c WHERE bm25_score IS NOT NULL AND tfidf_score IS NOT NULL), m AS (SELECT query, min(bm25_score) AS b0, max(bm25_score) AS b1, min(tfidf_score) AS t0, max(tfidf_score) AS t1 FROM x GROUP BY 1),
- k AS (SELECT query, candidate_id, chunk_id, round(0.7::DOUBLE * ((bm25_score - b0) / (b1 - b0 + 1e-8)) + 0.3::DOUBLE * ((tfidf_score - t0) / (t1 - t0 + 1e-8)), 6) AS pool_score FROM x JOIN m USING (query) QUALIFY row_number() OVER (PARTITION BY query ORDER BY pool_score DESC, candidate_id) <= 80),
- ch AS (SELECT chunk_id, max(chunk) AS chunk FROM pool_candidates WHERE chunk_id IS NOT NULL GROUP BY 1), q AS (SELECT k.*, chunk, list_distinct({_TERMS.format('query')}) AS qt FROM k JOIN ch USING (chunk_id)),
- e AS (SELECT *, round(0.3::DOUBLE * pool_score + 0.7::DOUBLE * (CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, {_TERMS.format('chunk')})) / len(qt) ELSE 0 END), 9) AS dense FROM q QUALIFY row_number() OVER (PARTITION BY query ORDER BY dense DESC, candidate_id) <= 60),
- g AS (SELECT *, round(dense + 0.2::DOUBLE * (0.1::DOUBLE * len(list_intersect(qt, list_distinct({_TERMS.format('chunk')}))) + 0.2::DOUBLE * len(list_intersect({_N.format('query')}, {_N.format('chunk')}))), 9) AS enhanced FROM e QUALIFY row_number() OVER (PARTITION BY query ORDER BY enhanced DESC, candidate_id) <= 40),
- h AS (SELECT *, list_filter({SENTS.format('chunk')}, lambda z: len(list_intersect({_TERMS.format('z')}, qt)) > 0) AS hs FROM g), i AS (SELECT *, CASE WHEN len(hs) > 0 THEN array_to_string(hs, ' | ') ELSE substring(chunk, 1, 200) END AS ex FROM h),
- j AS (SELECT query, candidate_id, pool_score, dense, enhanced, round(enhanced * (1 + 0.2::DOUBLE * (CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, {_TERMS.format('ex')})) / len(qt) ELSE 0 END)), 12) AS ultimate FROM i) """ + _top("query, candidate_id, pool_score, dense, enhanced, ultimate", "j", "query", "ultimate", "candidate_id", 20)
 QUERIES = {f.__name__: f for f in (keyword_match_score, neural_rerank, extracted_sentences, sentence_similarity, dense_first, rrf_lexical, sparse_pre_signal, heading_hierarchy, side_by_side, candidate_union, pair_scores, hypothetical_questions, query_shares, text_blocks)}

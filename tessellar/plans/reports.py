@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessellar.config import PRESETS
 from tessellar.functions import text as T
-from tessellar.functions.providers import Providers
-from tessellar.operators import fusion, lexical, pages, segment
+from tessellar.operators import pages, segment
 from tessellar.plans import retrieval as R
 from tessellar.plans import text_queries as X
 from tessellar.plans.text_queries import typed
@@ -81,23 +79,6 @@ def refined_queries(s, d):
     return pages.missing_bundles(k.select(F.col("question").alias("query"), "keyword"))
 
 
-def search_pipeline(s, d):
-    """The canonical pipeline over the pooled candidates, for all queries at once."""
-    cfg, p = PRESETS["canonical"], Providers()
-    c = R.candidates(s, d).filter("bm25_score is not null and tfidf_score is not null")
-    x = lexical.min_max(c, "query", "bm25_score", "tfidf_score")
-    x = x.withColumn("pool_score", F.round(cfg.lexical_mix[0] * F.col("bm25_score_n") + cfg.lexical_mix[1] * F.col("tfidf_score_n"), 6)).select("query", "candidate_id", "chunk_id", "pool_score")
-    x = lexical.best(x, "query", "pool_score", "candidate_id", cfg.pool, "pool_rank")
-    t = _t(s, d, "pool_candidates").filter("chunk_id is not null").groupBy("chunk_id").agg(F.max("chunk").alias("chunk"))
-    x = x.join(t, "chunk_id").withColumn("rel", p.relevance(F.col("query"), F.col("chunk")))
-    x = x.withColumn("dense", F.round(cfg.dense_mix[0] * F.col("pool_score") + cfg.dense_mix[1] * F.col("rel"), 9))
-    x = lexical.best(x, "query", "dense", "candidate_id", cfg.dense, "dense_rank")
-    x = x.withColumn("enhanced", F.round(F.col("dense") + cfg.context * fusion.overlap_bonus(F.col("query"), F.col("chunk")), 9))
-    x = lexical.best(x, "query", "enhanced", "candidate_id", cfg.neural, "neural_rank")
-    x = x.withColumn("extract", p.extract(F.col("query"), F.col("chunk"))).withColumn("ultimate", F.round(fusion.ultimate(F.col("enhanced"), p.relevance(F.col("query"), F.col("extract")), cfg.sentence), 12))
-    return lexical.best(x, "query", "ultimate", "candidate_id", cfg.final).select("query", "candidate_id", "pool_score", "dense", "enhanced", "ultimate", "rank")
-
-
 def keyword_book(s, d):
     return files.keyword_book(_t(s, d, "keywords_excel")).select("question", F.size("keywords").alias("n"), F.array_join("keywords", "; ").alias("keywords"))
 
@@ -196,4 +177,4 @@ SQL = {
     "ext_sessions": "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM y GROUP BY user_id, g",
 }
 SQL["relational_extras"] = typed(SQL["relational_extras"], chars="BIGINT")
-QUERIES = {f.__name__: f for f in (page_gate, page_chunks_ranked, page_fallback, remaining_pages, orchestrate_union, agent_coverage, agent_rounds, refined_queries, search_pipeline, keyword_book, keyword_union, group_sentences, wide_to_long, melt_levels, stage_dump, grouped_txt, sheets, scanned_files, file_state, relational_extras, ext_stream_windows, ext_sliding, ext_sessions)}
+QUERIES = {f.__name__: f for f in (page_gate, page_chunks_ranked, page_fallback, remaining_pages, orchestrate_union, agent_coverage, agent_rounds, refined_queries, keyword_book, keyword_union, group_sentences, wide_to_long, melt_levels, stage_dump, grouped_txt, sheets, scanned_files, file_state, relational_extras, ext_stream_windows, ext_sliding, ext_sessions)}
