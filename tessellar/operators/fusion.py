@@ -51,6 +51,23 @@ def ultimate(enhanced: Column, similarity: Column, factor: float = 0.2) -> Colum
     return enhanced * (1 + factor * similarity)
 
 
+def tfidf_links(df: DataFrame, group: str, item: str, rank: str, text: str, least: float) -> DataFrame:
+    """``(group, a, b)``: rows of a group whose uni- and bigram TF-IDF vectors, fitted on the group alone, have a cosine of
+    ``least`` or more, ``a`` ranked before ``b``. A group holds what a ranking left, a bounded number; null texts are alike
+    to nothing."""
+    t = T.terms(F.col(text))
+    pairs = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat_ws(" ", F.element_at("t", i), F.element_at("t", i + 1)))).otherwise(F.array().cast("array<string>"))
+    grams = df.select(group, item, rank, t.alias("t")).select(group, item, rank, F.explode(F.concat("t", pairs)).alias("g")).groupBy(group, item, rank, "g").agg(F.count("*").alias("tf"))
+    n = df.groupBy(group).agg(F.count("*").alias("n"))
+    x = grams.withColumn("df", F.count("*").over(Window.partitionBy(group, "g"))).join(n, group)
+    x = x.select(group, item, rank, "g", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    x = x.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group, item))))
+    x = x.select(group, item, rank, "g", (F.col("w") / F.col("norm")).alias("w"))
+    a, b = x.select(group, "g", F.col(item).alias("a"), F.col(rank).alias("ra"), F.col("w").alias("wa")), x.select(group, "g", F.col(item).alias("b"), F.col(rank).alias("rb"), F.col("w").alias("wb"))
+    dots = a.join(b, [group, "g"]).filter("ra < rb").groupBy(group, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos"))
+    return dots.filter(F.round("cos", 6) >= least).select(group, "a", "b")
+
+
 def greedy_dedupe(df: DataFrame, links: DataFrame, group: str, item: str, rank: str) -> DataFrame:
     """Walks each group by rank and drops what is linked to an item already kept. Only items that have a link are gathered,
     a group at a time; all others pass."""

@@ -159,16 +159,19 @@ def expanded_queries(s, d):
 
 
 def tfidf_dedupe(s, d):
-    """Of each query's best 20 candidates, those that no better kept one nearly equals (word sets at least 0.9 alike)."""
-    top = lexical.best(candidates(s, d).filter("combined_score is not null").select("query", "candidate_id", "chunk_id", F.col("combined_score").alias("score")), "query", "score", "candidate_id", 20)
-    p = _t(s, d, "pool_candidates").filter("chunk is not null").groupBy("chunk_id").agg(F.array_distinct(T.words(F.max("chunk"))).alias("w"))
-    x = top.join(p, "chunk_id").select("query", "candidate_id", "rank", "w")
-    a, b = x.alias("a"), x.alias("b")
-    common = F.size(F.array_intersect("a.w", "b.w"))
-    alike = common / (F.size("a.w") + F.size("b.w") - common)
-    # a query has at most 20 rows here
-    links = a.join(b, (F.col("a.query") == F.col("b.query")) & (F.col("a.rank") < F.col("b.rank"))).filter(F.round(alike, 6) >= 0.9).select(F.col("a.query").alias("query"), F.col("a.candidate_id").alias("a"), F.col("b.candidate_id").alias("b"))
-    return fusion.greedy_dedupe(top.select("query", "candidate_id", "rank"), links, "query", "candidate_id", "rank")
+    """Of each query's best 40 candidates, those whose TF-IDF vector within these is not 0.9 alike to a better one kept."""
+    top = lexical.best(candidates(s, d).filter("combined_score is not null").select("query", "candidate_id", "chunk_id", F.col("combined_score").alias("score")), "query", "score", "candidate_id", 40)
+    p = _t(s, d, "pool_candidates").filter("chunk is not null").groupBy("chunk_id").agg(F.max("chunk").alias("chunk"))
+    x = top.join(p, "chunk_id", "left").select("query", "candidate_id", "rank", "chunk")
+    return fusion.greedy_dedupe(top.select("query", "candidate_id", "rank"), fusion.tfidf_links(x, "query", "candidate_id", "rank", "chunk", 0.9), "query", "candidate_id", "rank")
+
+
+def keyword_pool(s, d):
+    """The pool over all chunks of every query that was run, with the keywords that stood beside it."""
+    k = F.array_distinct(F.filter(F.transform(F.split("k", ";"), lambda x: F.trim(x)), lambda x: x != ""))
+    q = _t(s, d, "final_results").filter("trim(query) <> ''").groupBy(F.trim("query").alias("query")).agg(F.max("keywords").alias("k")).select("query", k.alias("keywords"))
+    c = _t(s, d, "pool_candidates").filter("chunk_id is not null").groupBy("chunk_id").agg(F.max("chunk").alias("chunk"))
+    return lexical.keyword_pool(c, q.withColumn("text", F.col("query")), "chunk_id", "chunk", "query", "text", "keywords")
 
 
 _TERMS = f"list_filter({WORDS}, lambda x: length(x) > 1 AND x NOT IN ({STOP_SQL}))"
@@ -190,6 +193,26 @@ def _tf_sql(sub: bool) -> str:
  tf AS (SELECT item_id, doc_id, round(sum(ev.w / en.n * (eqv.w / eqn.n)), 6) AS tfidf FROM ev JOIN en USING (doc_id) JOIN eqv USING (term) JOIN eqn USING (item_id) GROUP BY 1, 2)"""
 
 
+_GRAMS = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"
+_LINE = "(' ' || array_to_string(" + WORDS + ", ' ') || ' ')"
+_KPOOL = f"""kq AS (SELECT query, list_distinct(list_filter(list_transform(string_split(k, ';'), lambda x: trim(x)), lambda x: x <> '')) AS kw FROM (SELECT trim(query) AS query, max(keywords) AS k FROM final_results WHERE trim(query) <> '' GROUP BY 1)),
+ kc AS (SELECT chunk_id, {_TERMS.format('chunk')} AS t, {_LINE.format('chunk')} AS line FROM (SELECT chunk_id, max(chunk) AS chunk FROM pool_candidates WHERE chunk_id IS NOT NULL GROUP BY 1)),
+ kph AS (SELECT DISTINCT query, phrase FROM (SELECT query, array_to_string({WORDS.format('k')}, ' ') AS phrase FROM (SELECT query, unnest(kw) AS k FROM kq)) WHERE contains(phrase, ' ')),
+ kex AS (SELECT chunk_id, replace(phrase, ' ', '_') AS term FROM (SELECT DISTINCT phrase FROM kph) JOIN kc ON contains(line, ' ' || phrase || ' ')),
+ kow AS (SELECT query, replace(phrase, ' ', '_') AS term FROM kph WHERE contains({_LINE.format('query')}, ' ' || phrase || ' ')),
+ kre AS (SELECT query, term FROM (SELECT DISTINCT query, unnest({_TERMS.format('k')}) AS term FROM (SELECT query, unnest(kw) AS k FROM kq)) UNION ALL SELECT query, replace(phrase, ' ', '_') FROM kph),
+ kt AS (SELECT query, term, sum(n) AS qw FROM (SELECT query, term, 3 AS n FROM (SELECT query, unnest({_TERMS.format('query')}) AS term FROM kq UNION ALL SELECT * FROM kow) UNION ALL SELECT query, term, 1 FROM kre) GROUP BY 1, 2),
+ kp AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM kc) GROUP BY 1, 2 UNION ALL SELECT chunk_id, term, 1 FROM kex), ks AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM kc), kd AS (SELECT term, count(*) AS df FROM kp GROUP BY 1),
+ kr AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM kd, ks), ki AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM kr) ELSE raw END AS idf FROM kr),
+ kb AS (SELECT query, chunk_id, round(sum(qw * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl))), 6) AS bm25 FROM kt JOIN ki USING (term) JOIN kp USING (term) JOIN kc USING (chunk_id), ks GROUP BY 1, 2),
+ ep AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({_GRAMS}) AS term FROM kc) GROUP BY 1, 2), ei AS (SELECT term, ln((1.0 + (SELECT count(*) FROM kc)) / (1 + count(*))) + 1 AS idf FROM ep GROUP BY 1 HAVING count(*) <= 0.9 * (SELECT count(*) FROM kc)),
+ ev AS (SELECT chunk_id, term, tf * idf AS w FROM ep JOIN ei USING (term)), en AS (SELECT chunk_id, sqrt(sum(w * w)) AS n FROM ev GROUP BY 1), eq AS (SELECT query, {_TERMS.format('query')} AS t FROM kq),
+ eqv AS (SELECT query, term, sum(tf) * any_value(idf) AS w FROM (SELECT query, term, 4 AS tf FROM (SELECT query, unnest({_GRAMS}) AS term FROM eq) UNION ALL SELECT query, term, 1 FROM kre) JOIN ei USING (term) GROUP BY 1, 2), eqn AS (SELECT query, sqrt(sum(w * w)) AS n FROM eqv GROUP BY 1),
+ kf AS (SELECT query, chunk_id, round(sum(ev.w * eqv.w) / any_value(en.n) / any_value(eqn.n), 6) AS tfidf FROM ev JOIN eqv USING (term) JOIN en USING (chunk_id) JOIN eqn USING (query) GROUP BY 1, 2),
+ j AS (SELECT query, chunk_id, coalesce(bm25, 0) AS bm25, coalesce(tfidf, 0) AS tfidf FROM kb FULL JOIN kf USING (query, chunk_id)), m AS (SELECT query, min(bm25) AS b0, max(bm25) AS b1, min(tfidf) AS t0, max(tfidf) AS t1 FROM j GROUP BY 1),
+ k AS (SELECT query, chunk_id, bm25, tfidf, round(0.7 * ((bm25 - b0) / (b1 - b0 + 1e-8)) + 0.3 * ((tfidf - t0) / (t1 - t0 + 1e-8)), 6) AS combined FROM j JOIN m USING (query))"""
+
+
 def _top(cols: str, source: str, group: str, score: str, tie: str, n: int) -> str:
     return f"SELECT * FROM (SELECT {cols}, row_number() OVER (PARTITION BY {group} ORDER BY {score} DESC, {tie})::INT AS rank FROM {source}) WHERE rank <= {n}"
 
@@ -224,11 +247,14 @@ SQL = {
     "subqueries": f"SELECT item_id, unnest(range(7))::INT AS n, unnest([p || q FOR p IN ['what is reported on ', 'figures for ', 'policy on ', 'responsibility for ', 'risks of ', 'targets for ', 'changes in ']]) AS subquery FROM (SELECT item_id, array_to_string({_TERMS.format('question')}, ' ') AS q FROM benchmark)",
     "expanded_queries": "SELECT kw_id, concat_ws(' ', trim(question), trim(regexp_replace(regexp_replace(keywords, '[\\[\\]\"'']', ' ', 'g'), '\\s+', ' ', 'g'))) AS expanded FROM keywords_excel WHERE question IS NOT NULL",
     "query_match": f"WITH q AS (SELECT DISTINCT trim(query) AS query FROM final_results WHERE query IS NOT NULL), k AS (SELECT lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) AS kq, max(kw_id) AS kw_id FROM keywords_excel WHERE question IS NOT NULL GROUP BY 1), x AS (SELECT query, kw_id, lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) = kq AS same, list_distinct({WORDS.format('query')}) AS a, list_distinct({WORDS.format('kq')}) AS b FROM q, k), o AS (SELECT query, kw_id, same, round(len(list_intersect(a, b)) / greatest(len(a), len(b)), 6) AS overlap FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY same DESC, overlap DESC, kw_id) AS n FROM o WHERE same OR overlap > 0.8) SELECT query, kw_id, CASE WHEN same THEN 'exact' ELSE 'overlap' END AS how, overlap FROM z WHERE n = 1",
-    "tfidf_dedupe": f"""WITH RECURSIVE {_CAND}, t AS (SELECT query, candidate_id, chunk_id, row_number() OVER (PARTITION BY query ORDER BY combined_score DESC, candidate_id) AS rank FROM c WHERE combined_score IS NOT NULL QUALIFY rank <= 20),
- w AS (SELECT chunk_id, list_distinct({WORDS.format('max(chunk)')}) AS w FROM pool_candidates WHERE chunk IS NOT NULL GROUP BY 1), x AS (SELECT * FROM t JOIN w USING (chunk_id)),
- l AS (SELECT a.query, a.rank AS ra, b.rank AS rb FROM x a JOIN x b ON a.query = b.query AND a.rank < b.rank WHERE round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) >= 0.9),
- g AS (SELECT query, 0 AS r, []::BIGINT[] AS kept FROM (SELECT DISTINCT query FROM t) UNION ALL SELECT g.query, g.r + 1, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.query = g.query AND l.rb = g.r + 1 AND list_contains(g.kept, l.ra)) THEN kept ELSE list_append(kept, g.r + 1) END FROM g WHERE g.r < 20),
- k AS (SELECT query, kept FROM g WHERE r = 20) SELECT t.query, candidate_id, rank::INT AS rank FROM t JOIN k USING (query) WHERE list_contains(kept, rank)""",
+    "tfidf_dedupe": f"""WITH RECURSIVE {_CAND}, t AS (SELECT query, candidate_id, chunk_id, row_number() OVER (PARTITION BY query ORDER BY combined_score DESC, candidate_id) AS rank FROM c WHERE combined_score IS NOT NULL QUALIFY rank <= 40),
+ w AS (SELECT chunk_id, {_TERMS.format('max(chunk)')} AS t FROM pool_candidates WHERE chunk IS NOT NULL GROUP BY 1), x AS (SELECT query, rank, t FROM t JOIN w USING (chunk_id)),
+ gr AS (SELECT query, rank, g, count(*) AS tf FROM (SELECT query, rank, unnest({_GRAMS}) AS g FROM x) GROUP BY 1, 2, 3), nn AS (SELECT query, count(*) AS n FROM t GROUP BY 1), df AS (SELECT query, g, count(*) AS df FROM gr GROUP BY 1, 2),
+ v AS (SELECT query, rank, g, tf * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM gr JOIN df USING (query, g) JOIN nn USING (query)), nv AS (SELECT query, rank, sqrt(sum(w * w)) AS m FROM v GROUP BY 1, 2), u AS (SELECT query, rank, g, w / m AS w FROM v JOIN nv USING (query, rank)),
+ l AS (SELECT a.query, a.rank AS ra, b.rank AS rb FROM u a JOIN u b ON a.query = b.query AND a.g = b.g AND a.rank < b.rank GROUP BY 1, 2, 3 HAVING round(sum(a.w * b.w), 6) >= 0.9),
+ g AS (SELECT query, 0 AS r, []::BIGINT[] AS kept FROM (SELECT DISTINCT query FROM t) UNION ALL SELECT g.query, g.r + 1, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.query = g.query AND l.rb = g.r + 1 AND list_contains(g.kept, l.ra)) THEN kept ELSE list_append(kept, g.r + 1) END FROM g WHERE g.r < 40),
+ k AS (SELECT query, kept FROM g WHERE r = 40) SELECT t.query, candidate_id, rank::INT AS rank FROM t JOIN k USING (query) WHERE list_contains(kept, rank)""",
+    "keyword_pool": f"""WITH {_KPOOL} """ + _top("query, chunk_id, bm25, tfidf, combined", "k", "query", "combined", "chunk_id", 80),
 }
 SQL["best_sentence"] = typed(SQL["best_sentence"], hits="INT", pos="INT")
-QUERIES = {f.__name__: f for f in (bm25_topk, tfidf_topk, tfidf_sublinear, lexical_pool, query_match, dense_knn, dense_ivf, mmr_select, kmeans_clusters, candidates_by_retriever, rrf_fuse, min_max_fusion, exact_dedupe, merge_dupes, context_features, heading_score, best_sentence, final_ultimate, subqueries, expanded_queries, tfidf_dedupe)}
+QUERIES = {f.__name__: f for f in (bm25_topk, tfidf_topk, tfidf_sublinear, lexical_pool, query_match, dense_knn, dense_ivf, mmr_select, kmeans_clusters, candidates_by_retriever, rrf_fuse, min_max_fusion, exact_dedupe, merge_dupes, context_features, heading_score, best_sentence, final_ultimate, subqueries, expanded_queries, tfidf_dedupe, keyword_pool)}
