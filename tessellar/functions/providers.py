@@ -24,9 +24,9 @@ def cosine_of_terms(a: Column, b: Column) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x) * F.size(y))).otherwise(0.0)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Similarity of two texts, null ones without terms."""
-    return cosine_of_terms(T.terms(a), T.terms(b))
+def share_of_terms(query: Column, terms: Column) -> Column:
+    """The part of the query's distinct terms among others; 0 without terms."""
+    return F.when(F.size(query) > 0, F.size(F.array_intersect(query, terms)) / F.size(query)).otherwise(0.0)
 
 
 def matching_sentences(query: Column, text: Column) -> Column:
@@ -44,6 +44,13 @@ def hashed_vector(text: Column, size: int = 64) -> Column:
 @dataclass(frozen=True)
 class Providers:
     relevance: Callable[[Column, Column], Column] = field(default=share_of_query)
-    similarity: Callable[[Column, Column], Column] = field(default=similarity)
+    #: of two texts; without one, plans that hold the texts' terms as columns use ``cosine_of_terms`` on these
+    similarity: Callable[[Column, Column], Column] | None = None
     extract: Callable[[Column, Column], Column] = field(default=matching_sentences)
     embed: Callable[[Column], Column] = field(default=hashed_vector)
+
+    def alike(self, a: Column, b: Column, a_terms: Column, b_terms: Column) -> Column:
+        return self.similarity(a, b) if self.similarity else cosine_of_terms(a_terms, b_terms)
+
+    def relevant(self, query: Column, text: Column, query_terms: Column, text_terms: Column) -> Column:
+        return share_of_terms(query_terms, text_terms) if self.relevance is share_of_query else self.relevance(query, text)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessellar.config import PipelineConfig
 from tessellar.functions import text as T
-from tessellar.functions.providers import Providers
+from tessellar.functions.providers import Providers, cosine_of_terms, share_of_terms
 from tessellar.operators import fusion
 from tessellar.operators.lexical import best, min_max
 
@@ -22,40 +22,43 @@ def names(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b[A-Z][a-z0-9]+"), 0))
 
 
-def heading_relevance(query: Column, heading: Column, p: Providers) -> Column:
+def heading_relevance(query: Column, qt: Column, heading: Column, p: Providers) -> Column:
     """0.3 x the part of the query's terms + 0.3 x the part of its names + 0.4 x similarity; 0 without a heading."""
-    q, n = F.array_distinct(T.terms(query)), names(query)
-    part = lambda a, b: F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
-    r = 0.3 * part(q, T.terms(heading)) + 0.3 * part(n, names(heading)) + 0.4 * p.similarity(query, heading)
-    return F.when(heading.isNotNull(), r).otherwise(0.0)
+    n, ht = names(query), T.terms(heading)
+    part = F.when(F.size(n) > 0, F.size(F.array_intersect(n, names(heading))) / F.size(n)).otherwise(0.0)
+    return F.when(heading.isNotNull(), 0.3 * share_of_terms(qt, ht) + 0.3 * part + 0.4 * p.alike(query, heading, qt, ht)).otherwise(0.0)
 
 
-def hierarchy_bonus(query: Column, chunk: Column, p: Providers) -> Column:
+def hierarchy_bonus(query: Column, qt: Column, chunk: Column, p: Providers) -> Column:
     """Over the heading lines of a chunk, each one's relevance by its depth, at most 1 together."""
     lines = F.filter(F.split(F.coalesce(chunk, F.lit("")), "\n"), lambda x: x.rlike(r"^#+\s*\S"))
-    each = F.transform(lines, lambda x: heading_relevance(query, x, p) / F.length(F.regexp_extract(x, "^(#+)", 1)))
+    each = F.transform(lines, lambda x: heading_relevance(query, qt, x, p) / F.length(F.regexp_extract(x, "^(#+)", 1)))
     return F.least(F.lit(1.0), F.aggregate(each, F.lit(0.0), lambda a, b: a + b))
 
 
-def heading_boost(query: Column, heading: Column, chunk: Column, p: Providers) -> Column:
+def heading_boost(query: Column, qt: Column, heading: Column, chunk: Column, p: Providers) -> Column:
     own = F.when(~F.contains(F.lower(heading), F.lit("introduction")), heading)
-    return 0.6 * heading_relevance(query, own, p) + 0.4 * hierarchy_bonus(query, chunk, p)
+    return 0.6 * heading_relevance(query, qt, own, p) + 0.4 * hierarchy_bonus(query, qt, chunk, p)
 
 
-def keyword_score(keywords: Column, text: Column, p: Providers) -> Column:
+def keyword_score(keywords: Column, text: Column, ct: Column, p: Providers) -> Column:
     """0.6 x the part of the keywords that stand in the text + 0.4 x their mean similarity to it; 0 without keywords."""
     k = F.coalesce(keywords, F.array().cast("array<string>"))
-    n, t = F.size(k), F.coalesce(text, F.lit(""))
-    hits = F.size(F.filter(k, lambda x: F.contains(F.lower(t), F.lower(x))))
-    mean = F.aggregate(F.transform(k, lambda x: p.similarity(x, t)), F.lit(0.0), lambda a, b: a + b) / n
-    return F.when(n > 0, 0.6 * hits / n + 0.4 * mean).otherwise(0.0)
+    hits = F.size(F.filter(k, lambda x: F.contains(F.lower(text), F.lower(x))))
+    each = F.transform(k, lambda x: p.similarity(x, text)) if p.similarity else F.transform(F.transform(k, T.terms), lambda x: cosine_of_terms(x, ct))
+    return F.when(F.size(k) > 0, 0.6 * hits / F.size(k) + 0.4 * F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / F.size(k)).otherwise(0.0)
 
 
-def sentence_similarity(query: Column, chunk: Column, p: Providers) -> Column:
+def sentence_similarity(query: Column, qt: Column, chunk: Column, p: Providers) -> Column:
     """The highest similarity of a sentence that shares a term with the query, else that of the first 200 characters."""
-    hits = F.filter(T.sentences(chunk), lambda s: F.size(F.array_intersect(T.terms(s), T.terms(query))) > 0)
-    top = F.array_max(F.transform(hits, lambda s: p.similarity(query, s)))
-    return F.coalesce(top, p.similarity(query, F.substring(chunk, 1, 200)), F.lit(0.0))
+    first = F.substring(chunk, 1, 200)
+    if p.similarity:
+        hits = F.filter(T.sentences(chunk), lambda s: F.size(F.array_intersect(T.terms(s), qt)) > 0)
+        top = F.array_max(F.transform(hits, lambda s: p.similarity(query, s)))
+    else:  # a sentence without a shared term is not similar at all
+        top = F.array_max(F.transform(F.transform(T.sentences(chunk), T.terms), lambda t: cosine_of_terms(qt, t)))
+        top = F.when(top > 0, top)
+    return F.coalesce(top, p.alike(query, first, qt, T.terms(first)), F.lit(0.0))
 
 
 def _round(c: Column) -> Column:
@@ -68,8 +71,8 @@ def _fused(x: DataFrame, cfg: PipelineConfig, p: Providers) -> DataFrame:
         x = best(x, "query", "near", ID, cfg.pool, "_r").drop("_r")
     cols = [F.struct(F.lit("pool").alias("method"), F.col("pool_score").alias("v")), F.struct(F.lit("near").alias("method"), F.col("near").alias("v"))]
     if cfg.fuse == "subqueries":
-        q = F.array_join(T.terms(F.col("query")), " ")
-        cols = [cols[0], *[F.struct(F.lit(f"sub{i}").alias("method"), _round(p.similarity(F.concat(F.lit(t), q), F.col("chunk"))).alias("v")) for i, t in enumerate(SUBQUERIES)]]
+        sub = lambda t: (F.concat(F.lit(t), F.array_join("qt", " ")), F.col("chunk"), F.concat(T.terms(F.lit(t)), "qt"), F.col("ct"))
+        cols = [cols[0], *[F.struct(F.lit(f"sub{i}").alias("method"), _round(p.alike(*sub(t))).alias("v")) for i, t in enumerate(SUBQUERIES)]]
     long = x.select("query", ID, F.explode(F.array(*cols)).alias("l")).select("query", ID, "l.method", "l.v")
     lists = best(long, ["query", "method"], "v", ID, cfg.pool).withColumn("rank", F.col("rank") - 1)
     f = fusion.rrf(lists, "query", ID).select("query", ID, F.col("rrf"))
@@ -89,16 +92,18 @@ def search(cands: DataFrame, chunks: DataFrame, keywords: DataFrame, cfg: Pipeli
     c = cands.filter(F.col("bm25_score").isNotNull() & F.col("tfidf_score").isNotNull())
     x = min_max(c, "query", "bm25_score", "tfidf_score").select("query", ID, "chunk_id", "bm25_score_n", "tfidf_score_n")
     words = keywords.select("query", "keywords")
-    kw = _round(keyword_score(F.col("keywords"), F.col("chunk"), p))
+    kw = _round(keyword_score(F.col("keywords"), F.col("chunk"), F.col("ct"), p))
+    qt = F.array_distinct(T.terms(F.col("query"))).alias("qt")
+    texts = lambda c: c.select("chunk_id", F.coalesce("chunk", F.lit("")).alias("chunk"), "heading", T.terms(F.col("chunk")).alias("ct"))
     score = cfg.lexical_mix[0] * F.col("bm25_score_n") + cfg.lexical_mix[1] * F.col("tfidf_score_n")
     if len(cfg.lexical_mix) > 2:
-        x = x.join(chunks, "chunk_id").join(words, "query", "left").withColumn("kw", kw)
+        x = x.join(texts(chunks), "chunk_id").join(words, "query", "left").withColumn("kw", kw)
         x = best(x.withColumn("pool_score", _round(score + cfg.lexical_mix[2] * F.col("kw"))), "query", "pool_score", ID, cfg.pool, "_r")
     else:
         x = best(x.withColumn("pool_score", _round(score)), "query", "pool_score", ID, cfg.pool, "_r")
         few = chunks.join(x.select("chunk_id").distinct(), "chunk_id", "left_semi")
-        x = x.join(few, "chunk_id").join(words, "query", "left").withColumn("kw", kw)
-    x = x.withColumn("near", _round(p.similarity(F.col("query"), F.col("chunk"))))
+        x = x.join(texts(few), "chunk_id").join(words, "query", "left").withColumn("kw", kw)
+    x = x.select("*", qt).withColumn("near", _round(p.alike(F.col("query"), F.col("chunk"), F.col("qt"), F.col("ct"))))
     if cfg.fuse == "scores":
         mix = cfg.dense_mix
         dense = mix[0] * F.col("pool_score") + mix[1] * F.col("near")
@@ -108,16 +113,17 @@ def search(cands: DataFrame, chunks: DataFrame, keywords: DataFrame, cfg: Pipeli
     x = best(x.drop("_r"), "query", "dense", ID, cfg.dense, "_r").drop("_r")
     if cfg.neural:
         m = cfg.neural_mix
-        x = x.withColumn("neural", _round(m[0] * F.col("pool_score") + m[1] * F.col("dense") + m[2] * p.relevance(F.col("query"), F.col("chunk"))))
+        x = x.withColumn("neural", _round(m[0] * F.col("pool_score") + m[1] * F.col("dense") + m[2] * p.relevant(F.col("query"), F.col("chunk"), F.col("qt"), F.col("ct"))))
         x = best(x, "query", "neural", ID, cfg.neural, "_r").drop("_r")
     else:
         x = x.withColumn("neural", F.col("dense"))
-    more = cfg.context * fusion.overlap_bonus(F.array_join(F.array_distinct(T.terms(F.col("query"))), " "), F.col("chunk"), entity=0.0) + cfg.context * 0.2 * F.size(F.array_intersect(names(F.col("query")), names(F.col("chunk"))))
+    shared = F.size(F.array_intersect("qt", "ct")), F.size(F.array_intersect(names(F.col("query")), names(F.col("chunk"))))
+    more = cfg.context * 0.1 * shared[0] + cfg.context * 0.2 * shared[1]
     if cfg.heading:
-        more = more + cfg.heading * heading_boost(F.col("query"), F.col("heading"), F.col("chunk"), p)
+        more = more + cfg.heading * heading_boost(F.col("query"), F.col("qt"), F.col("heading"), F.col("chunk"), p)
     if cfg.keyword:
         more = more + cfg.keyword * F.col("kw")
-    x = x.withColumn("enhanced", _round(F.col("neural") + more)).withColumn("similarity", _round(sentence_similarity(F.col("query"), F.col("chunk"), p)))
+    x = x.withColumn("enhanced", _round(F.col("neural") + more)).withColumn("similarity", _round(sentence_similarity(F.col("query"), F.col("qt"), F.col("chunk"), p)))
     last = fusion.ultimate(F.col("enhanced"), F.col("similarity"), cfg.sentence)
     x = x.withColumn("ultimate", _round(last * (1 + F.col("kw")) if cfg.keyword else last))
     by = "ultimate" if cfg.sort_by == "ultimate" else "similarity"

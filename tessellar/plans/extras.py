@@ -11,7 +11,7 @@ from tessellar.operators import dense, fusion, lexical, segment
 from tessellar.plans import quality as Q
 from tessellar.plans import retrieval as R
 from tessellar.plans.retrieval import _BM, _KNN, _TERMS, _tf_sql, _top
-from tessellar.plans.text_queries import SENTS, WORDS
+from tessellar.plans.text_queries import SENTS
 
 
 def _t(s, d, name="documents"):
@@ -99,15 +99,6 @@ def candidate_union(s, d):
     return a.union(R.tfidf_topk(s, d).filter("rank <= 25").select("item_id", "doc_id")).distinct()
 
 
-def pair_scores(s, d):
-    """Word overlap of a result's sentences and context both ways, and their cautious and generous mixes."""
-    f = _t(s, d, "final_results").groupBy("result_id").agg(F.max_by(F.struct("extracted_sentences", "chunk_context"), "ingested_at").alias("r"))
-    x = f.select("result_id", F.array_distinct(T.words(F.col("r.extracted_sentences"))).alias("a"), F.array_distinct(T.words(F.col("r.chunk_context"))).alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    x = x.select("result_id", F.when(F.size("a") > 0, 100 * both / F.size("a")).otherwise(0.0).alias("e"), F.when(F.size("b") > 0, 100 * both / F.size("b")).otherwise(0.0).alias("f"))
-    return x.select("result_id", F.round("e", 6).alias("exact"), F.round((F.col("e") + F.col("f")) / 2, 6).alias("cautious"), F.round(0.35 * F.col("e") + 0.65 * F.greatest("e", "f"), 6).alias("generous"))
-
-
 def hypothetical_questions(s, d):
     """Default questions of each chunk, by templates over its heading."""
     p = _t(s, d, "pool_candidates").filter("chunk_id is not null").groupBy("chunk_id").agg(F.max("heading").alias("h"))
@@ -142,8 +133,7 @@ SQL = {
     "heading_hierarchy": "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, length(regexp_extract(line, '^(#+)', 1)) AS depth FROM l WHERE regexp_matches(line, '^#+\\s*\\S') AND NOT regexp_matches(line, '(?i)^(#*\\s*)?(Page|p\\.)?\\s*\\d+\\s*(#*\\s*)?$')) SELECT doc_id, count(*) AS n, min(depth)::INT AS top, round(least(1, sum(0.1::DOUBLE / depth)), 6) AS bonus FROM h GROUP BY 1",
     "side_by_side": "WITH a AS (SELECT row_number() OVER (ORDER BY item_id)::INT AS n, item_id FROM benchmark), b AS (SELECT row_number() OVER (ORDER BY sheet ASC NULLS LAST)::INT AS n, sheet, questions FROM (SELECT sheet, count(*) AS questions FROM keywords_excel GROUP BY 1)) SELECT * FROM a FULL JOIN b USING (n)",
     "candidate_union": f"WITH {_BM}, {_tf_sql(False)} SELECT item_id, doc_id FROM ({_top('item_id, doc_id, bm25', 'bm', 'item_id', 'bm25', 'doc_id', 25)}) UNION SELECT item_id, doc_id FROM ({_top('item_id, doc_id, tfidf', 'tf', 'item_id', 'tfidf', 'doc_id', 25)})",
-    "pair_scores": f"WITH x AS (SELECT result_id, list_distinct({WORDS.format('r.a')}) AS a, list_distinct({WORDS.format('r.b')}) AS b FROM (SELECT result_id, arg_max({{'a': extracted_sentences, 'b': chunk_context}}, ingested_at) AS r FROM final_results GROUP BY 1)), y AS (SELECT result_id, CASE WHEN len(a) > 0 THEN 100 * len(list_intersect(a, b)) / len(a) ELSE 0 END AS e, CASE WHEN len(b) > 0 THEN 100 * len(list_intersect(a, b)) / len(b) ELSE 0 END AS f FROM x) SELECT result_id, round(e, 6) AS exact, round((e + f) / 2, 6) AS cautious, round(0.35::DOUBLE * e + 0.65::DOUBLE * greatest(e, f), 6) AS generous FROM y",
     "hypothetical_questions": "WITH p AS (SELECT chunk_id, lower(trim(regexp_replace(max(heading), '\\s+', ' ', 'g'))) AS h FROM pool_candidates WHERE chunk_id IS NOT NULL GROUP BY 1) SELECT chunk_id, unnest(range(3))::INT AS n, unnest(['what is said on ' || h || '?', 'who is responsible for ' || h || '?', 'what figures stand for ' || h || '?']) AS question FROM p WHERE h NOT IN ('', 'nan', 'null', 'none', 'unknown', 'no heading')",
     "query_shares": "WITH p AS (SELECT candidate_id, r.* FROM (SELECT candidate_id, arg_max({'query': trim(query), 'chunk_id': chunk_id}, ingested_at) AS r FROM pool_candidates WHERE trim(query) <> '' GROUP BY 1)), x AS (SELECT query, count(*) AS n, count(DISTINCT chunk_id) AS chunks FROM p GROUP BY 1) SELECT query, n, chunks, round(n / sum(n) OVER (), 9) AS share FROM x",
 }
-QUERIES = {f.__name__: f for f in (keyword_match_score, neural_rerank, extracted_sentences, sentence_similarity, dense_first, rrf_lexical, sparse_pre_signal, heading_hierarchy, side_by_side, candidate_union, pair_scores, hypothetical_questions, query_shares, text_blocks)}
+QUERIES = {f.__name__: f for f in (keyword_match_score, neural_rerank, extracted_sentences, sentence_similarity, dense_first, rrf_lexical, sparse_pre_signal, heading_hierarchy, side_by_side, candidate_union, hypothetical_questions, query_shares, text_blocks)}

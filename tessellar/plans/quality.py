@@ -9,7 +9,7 @@ from tessellar.functions.vectors import cosine
 from tessellar.operators import coverage, dense, evaluate, fusion, lexical, mor
 from tessellar.plans import retrieval as R
 from tessellar.plans.retrieval import _TERMS
-from tessellar.plans.text_queries import BARE, SENTS, WORDS, typed
+from tessellar.plans.text_queries import SENTS, WORDS, typed
 from tessellar.session import cut
 
 
@@ -117,14 +117,6 @@ def coverage_report(s, d):
     return coverage.report(coverage_greedy(s, d), _totals(s, d))
 
 
-def coverage_cascade(s, d):
-    return coverage.cascade(_t(s, d, "benchmark"), _t(s, d))
-
-
-def coverage_methods(s, d):
-    return coverage_cascade(s, d).groupBy("how").agg(F.count("*").alias("n"))
-
-
 def _chunk(s, d):
     """Share in percent of a benchmark item's words that a document holds, above 15, where any sentence matches."""
     b = _t(s, d, "benchmark").select("item_id", F.array_distinct(T.terms(F.col("text"))).alias("bw"))
@@ -193,7 +185,6 @@ _SS = f"""{_BS}, dw AS (SELECT doc_id, list_distinct({_TERMS.format('text')}) AS
  sa AS (SELECT * FROM ss QUALIFY row_number() OVER (PARTITION BY item_id, sid ORDER BY overlap DESC, doc_id) = 1), tt AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1),
  gc AS (SELECT item_id, doc_id, count(*) AS covered FROM sa WHERE overlap >= 0.8 GROUP BY 1, 2), gp AS (SELECT item_id, doc_id, covered, n, row_number() OVER w AS pick, coalesce(sum(covered) OVER (PARTITION BY item_id ORDER BY covered DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM gc JOIN tt USING (item_id) WINDOW w AS (PARTITION BY item_id ORDER BY covered DESC, doc_id)),
  cov AS (SELECT item_id, doc_id, covered, pick::INT AS pick FROM gp WHERE pick <= 5 AND before < ceil(n * 0.95))"""
-_CAS = f"{_SS}, cb AS (SELECT item_id, sid, {BARE.format('sentence')} AS b FROM bs), ct AS (SELECT doc_id, {BARE.format('text')} AS t FROM documents), cr AS (SELECT item_id, sid, max(overlap) AS o, max((t = b)::INT) AS e, max(contains(t, b)::INT) AS p FROM ss JOIN cb USING (item_id, sid) JOIN ct USING (doc_id) GROUP BY 1, 2), cas AS (SELECT item_id, sid, CASE WHEN e = 1 THEN 'exact' WHEN p = 1 THEN 'substring' WHEN o >= 0.8 THEN 'overlap' WHEN o >= 0.5 THEN 'partial' ELSE 'none' END AS how FROM bs LEFT JOIN cr USING (item_id, sid))"
 _CH = f"{_SS}, bw AS (SELECT item_id, list_distinct({_TERMS.format('text')}) AS bw FROM benchmark), ck AS (SELECT item_id, doc_id, round(100 * len(list_intersect(bw, dw)) / len(bw), 6) AS score FROM (SELECT DISTINCT item_id, doc_id FROM ss) JOIN bw USING (item_id) JOIN dw USING (doc_id)), cc AS (SELECT * FROM ck WHERE score > 15)"
 _AD = f"{_CH}, cr_ AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM cc), ap AS (SELECT item_id, count(*) AS n, coalesce(max(score) FILTER (r = 1), 0) AS a, coalesce(max(score) FILTER (r = 2), 0) AS b, coalesce(max(score) FILTER (r = 3), 0) AS c FROM cr_ GROUP BY 1), ad AS (SELECT item_id, round(CASE WHEN a >= 80 THEN a WHEN n >= 2 AND (a >= 40 OR a + b + c >= 60) THEN least(100, a + 0.7::DOUBLE * b + 0.5::DOUBLE * c) ELSE a END, 6) AS score, CASE WHEN n = 1 OR a >= 80 THEN 'concentrated' WHEN a < 60 THEN 'distributed' ELSE 'mixed' END AS pattern, n FROM ap)"
 _CHA = f"bw AS (SELECT item_id, list_distinct({_TERMS.format('text')}) AS bw FROM benchmark), dw AS (SELECT doc_id, list_distinct({_TERMS.format('text')}) AS dw FROM documents WHERE text IS NOT NULL), cc AS (SELECT * FROM (SELECT item_id, doc_id, round(100 * len(list_intersect(bw, dw)) / len(bw), 6) AS score FROM bw, dw WHERE len(bw) > 0) WHERE score > 15)"
@@ -223,8 +214,6 @@ SQL = {
     "coverage_assign": f"WITH {_SS} SELECT * FROM sa",
     "coverage_greedy": f"WITH {_SS} SELECT * FROM cov",
     "coverage_report": f"WITH {_SS} SELECT item_id, n AS sentences, coalesce(sum(covered), 0) AS covered, round(100 * coalesce(sum(covered), 0) / n, 6) AS coverage, count(doc_id) AS documents FROM tt LEFT JOIN cov USING (item_id) GROUP BY 1, 2",
-    "coverage_cascade": f"WITH {_CAS} SELECT * FROM cas",
-    "coverage_methods": f"WITH {_CAS} SELECT how, count(*) AS n FROM cas GROUP BY 1",
     "chunk_coverage": f"WITH {_CH} SELECT * FROM cc",
     "adaptive_coverage": f"WITH {_AD} SELECT * FROM ad",
     "coverage_bands": f"WITH {_AD} SELECT CASE WHEN score >= 90 THEN '90+' WHEN score >= 70 THEN '70+' WHEN score >= 50 THEN '50+' WHEN score >= 30 THEN '30+' ELSE '<30' END AS band, pattern, count(*) AS n, round(avg(score), 6) AS mean FROM ad GROUP BY 1, 2",
@@ -233,4 +222,4 @@ SQL = {
 for _name in ("chunk_coverage", "adaptive_coverage", "coverage_bands"):  # over all pairs, without the gate by sentences
     SQL[_name + "_all"] = SQL[_name].replace(_CH, _CHA)
 SQL["coverage_report"] = typed(SQL["coverage_report"], covered="BIGINT")
-QUERIES = {f.__name__: f for f in (mor_pre_signal, mor_post_signal, mor_diversity, mor_moran, mor_scores, mor_weights, mor_fuse, retriever_shares, dense_rerank, main_query_rerank, best_query_match, vector_agreement, coverage_sentence_scores, coverage_assign, coverage_greedy, coverage_report, coverage_cascade, coverage_methods, chunk_coverage, adaptive_coverage, coverage_bands, chunk_coverage_all, adaptive_coverage_all, coverage_bands_all, bleu_pairs, rouge_l, fuzzy_coverage)}
+QUERIES = {f.__name__: f for f in (mor_pre_signal, mor_post_signal, mor_diversity, mor_moran, mor_scores, mor_weights, mor_fuse, retriever_shares, dense_rerank, main_query_rerank, best_query_match, vector_agreement, coverage_sentence_scores, coverage_assign, coverage_greedy, coverage_report, chunk_coverage, adaptive_coverage, coverage_bands, chunk_coverage_all, adaptive_coverage_all, coverage_bands_all, bleu_pairs, rouge_l, fuzzy_coverage)}
