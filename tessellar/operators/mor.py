@@ -2,41 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellar.functions.vectors import cosine, dot, mean_vector
+from tessellar.session import cut
 
 
-#: clusters up to which centroids are sent to all tasks
-MOST_CLUSTERS = 10_000
+#: centroids sent to all tasks at once; more come in blocks
+BLOCK = 10_000
 
 
 def centroids(df: DataFrame, cluster: str = "label", vector: str = "embedding") -> DataFrame:
-    """``(cluster, centre, n)``: the mean vector and size of each cluster. More than ``MOST_CLUSTERS`` are refused, as the
-    signals compare every row with every centroid."""
-    if df.select(cluster).distinct().limit(MOST_CLUSTERS + 1).count() > MOST_CLUSTERS:
-        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    """``(cluster, centre, n)``: the mean vector and size of each cluster."""
     m = mean_vector(df, [cluster], vector).withColumnRenamed(vector, "centre")
     return m.join(df.groupBy(cluster).agg(F.count("*").alias("n")), cluster)
 
 
+def _over_centroids(rows: DataFrame, centres: DataFrame, key: str, vector: str, part: Column) -> DataFrame:
+    """``(key, s)``: the sum of ``part`` (of ``n``, the number ``k`` of centroids and the squared distance ``d2``) over all
+    centroids, of which a block of bounded size at a time goes to every task."""
+    c = cut(centres.select("centre", "n"), "centres")
+    k = c.count()
+    blocks = max(1, -(-k // BLOCK))
+    d2 = dot(F.col(vector), F.col(vector)) - 2 * dot(F.col(vector), F.col("centre")) + dot(F.col("centre"), F.col("centre"))
+    out = None
+    for i in range(blocks):
+        block = c.filter(F.pmod(F.xxhash64("centre", "n"), F.lit(blocks)) == i) if blocks > 1 else c
+        x = rows.select(key, vector).join(F.broadcast(block)).withColumn("d2", d2).withColumn("k", F.lit(k)).groupBy(key).agg(F.sum(part).alias("s"))
+        out = x if out is None else out.unionAll(x)
+    return out.groupBy(key).agg(F.sum("s").alias("s"))
+
+
 def pre_signal(queries: DataFrame, centres: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(key, pre)``: the length of the vector of (cluster size / clusters) / distance over centroids away from the query;
-    0.5 where there is none. Centroids are as many as clusters."""
-    c = centres.select("centre", "n")
-    k = c.agg(F.count("*").alias("k"))
-    x = queries.select(key, vector).join(F.broadcast(c.join(k)))
-    d2 = dot(F.col(vector), F.col(vector)) - 2 * dot(F.col(vector), F.col("centre")) + dot(F.col("centre"), F.col("centre"))
+    0.5 where there is none."""
     part = F.when(F.col("d2") > 1e-9, F.pow(F.col("n") / F.col("k") / F.sqrt("d2"), 2))
-    return x.withColumn("d2", d2).groupBy(key).agg(F.round(F.coalesce(F.sqrt(F.sum(part)), F.lit(0.5)), 5).alias("pre"))
+    return _over_centroids(queries, centres, key, vector, part).select(key, F.round(F.coalesce(F.sqrt("s"), F.lit(0.5)), 5).alias("pre"))
 
 
 def post_signal(hits: DataFrame, base: DataFrame, centres: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``(qid, post)``: the length of the vector, over a query's hits, of the lengths of 1 / distance to each centroid."""
-    own = base.select(key, vector).join(F.broadcast(centres.select("centre")))
-    d2 = dot(F.col(vector), F.col(vector)) - 2 * dot(F.col(vector), F.col("centre")) + dot(F.col("centre"), F.col("centre"))
-    x = own.withColumn("d2", d2).groupBy(key).agg(F.sum(F.when(F.col("d2") > 1e-9, 1 / F.col("d2"))).alias("s"))
+    """``(qid, post)``: the length of the vector, over a query's hits, of the lengths of 1 / distance to each centroid. Only
+    rows that some query hit are compared."""
+    own = base.join(hits.select(key).distinct(), key, "left_semi")
+    x = _over_centroids(own, centres, key, vector, F.when(F.col("d2") > 1e-9, 1 / F.col("d2")))
     return hits.join(x, key).groupBy("qid").agg(F.round(F.sqrt(F.sum("s")), 5).alias("post"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellar.functions import text as T
+from tessellar.functions.providers import cosine_of_terms
 from tessellar.operators.lexical import best
 from tessellar.session import cut
 
@@ -32,6 +34,15 @@ def rank_page_chunks(chunks: DataFrame, keywords: list[str], n: int) -> DataFram
     return best(x.drop("chunk"), ["document", "page_no"], "adjusted", "chunk_id", n)
 
 
+def local_scores(chunks: DataFrame, keywords: list[str], least: float = 0.6) -> DataFrame:
+    """Adds ``local``, the similarity of a chunk's terms to the keywords', and its ``rank`` within its page of its file;
+    chunks of at least ``least`` and the best of each page stay."""
+    k = F.array_distinct(T.terms(F.lit(" ".join(keywords))))
+    x = chunks.withColumn("local", F.round(cosine_of_terms(k, T.terms(F.col("chunk"))), 6)).drop("chunk")
+    w = Window.partitionBy("document", "page_no").orderBy(F.col("local").desc(), "chunk_id")
+    return x.withColumn("rank", F.row_number().over(w)).filter((F.col("local") >= least) | (F.col("rank") == 1))
+
+
 def remaining(all_pages: DataFrame, used: DataFrame) -> DataFrame:
     """Known pages of each file that no result stands on."""
     return all_pages.filter("page_no is not null").distinct().join(used.filter("page_no is not null").distinct(), ["document", "page_no"], "left_anti")

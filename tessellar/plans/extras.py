@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessellar.functions import text as T
@@ -12,6 +11,7 @@ from tessellar.plans import quality as Q
 from tessellar.plans import retrieval as R
 from tessellar.plans.retrieval import _BM, _KNN, _TERMS, _tf_sql, _top
 from tessellar.plans.text_queries import SENTS
+from tessellar.session import numbered
 
 
 def _t(s, d, name="documents"):
@@ -33,11 +33,11 @@ def keyword_match_score(s, d):
 
 
 def neural_rerank(s, d):
-    """The default relevance of each candidate's first 4,000 characters in the neural mix, the best 40 of each query."""
+    """The default relevance of each candidate's chunk in the neural mix, the best 40 of each query."""
     p = Providers()
     x = _pool(s, d, "query", "chunk", "combined_score").withColumn("query", F.trim("query"))
     base = F.coalesce(F.nanvl("combined_score", F.lit(None).cast("double")), F.lit(0.0))
-    x = x.select("query", "candidate_id", F.round(0.4 * base + 0.6 * p.relevance(F.col("query"), F.substring("chunk", 1, 4000)), 6).alias("neural"))
+    x = x.select("query", "candidate_id", F.round(0.4 * base + 0.6 * p.relevance(F.col("query"), F.col("chunk")), 6).alias("neural"))
     return lexical.best(x, "query", "neural", "candidate_id", 40)
 
 
@@ -87,10 +87,8 @@ def heading_hierarchy(s, d):
 
 def side_by_side(s, d):
     """Benchmark questions beside known questions, row by row, the longer list to its end."""
-    a = _t(s, d, "benchmark").select(F.row_number().over(Window.orderBy("item_id")).alias("n"), "item_id")
-    b = _t(s, d, "keywords_excel").groupBy("sheet").agg(F.count("*").alias("questions"))
-    b = b.select(F.row_number().over(Window.orderBy(F.col("sheet").asc_nulls_last())).alias("n"), "sheet", "questions")
-    return a.join(b, "n", "full")
+    a = numbered(_t(s, d, "benchmark").select("item_id"), "item_id")
+    return a.join(numbered(_t(s, d, "keywords_excel").select("kw_id"), "kw_id"), "n", "full")
 
 
 def candidate_union(s, d):
@@ -120,7 +118,7 @@ def text_blocks(s, d):
 
 
 _P = "p AS (SELECT candidate_id, trim(r.query) AS query, r.chunk AS chunk, CASE WHEN r.s IS NULL OR isnan(r.s) THEN 0 ELSE r.s END AS s FROM (SELECT candidate_id, arg_max({'query': query, 'chunk': chunk, 's': combined_score}, ingested_at) AS r FROM pool_candidates WHERE trim(query) <> '' GROUP BY 1))"
-_REL = f"CASE WHEN len(list_distinct({_TERMS.format('query')})) > 0 THEN len(list_intersect(list_distinct({_TERMS.format('query')}), list_distinct({_TERMS.format('substring(chunk, 1, 4000)')}))) / len(list_distinct({_TERMS.format('query')})) ELSE 0 END"
+_REL = f"CASE WHEN len(list_distinct({_TERMS.format('query')})) > 0 THEN len(list_intersect(list_distinct({_TERMS.format('query')}), list_distinct({_TERMS.format('chunk')}))) / len(list_distinct({_TERMS.format('query')})) ELSE 0 END"
 _RR80 = _KNN.replace("rank <= 20", "rank <= 80")
 SQL = {
     "keyword_match_score": "WITH f AS (SELECT result_id, list_filter(list_transform(string_split(lower(r.k), ','), lambda x: trim(x)), lambda x: x <> '') AS k, r.e AS e FROM (SELECT result_id, arg_max({'k': keywords, 'e': extracted_sentences}, ingested_at) AS r FROM final_results GROUP BY 1)) SELECT result_id, round(CASE WHEN len(k) > 0 AND e IS NOT NULL THEN len(list_filter(k, lambda x: contains(lower(e), x))) / len(k) ELSE 0 END, 6) AS score FROM f",
@@ -131,7 +129,7 @@ SQL = {
     "rrf_lexical": f"WITH {_BM}, {_tf_sql(False)}, a AS ({_top('item_id, doc_id, bm25', 'bm', 'item_id', 'bm25', 'doc_id', 80)}), b AS ({_top('item_id, doc_id, tfidf', 'tf', 'item_id', 'tfidf', 'doc_id', 80)}), u AS (SELECT item_id, doc_id, 'bm25' AS method, rank - 1 AS rank FROM a UNION ALL SELECT item_id, doc_id, 'tfidf', rank - 1 FROM b), g AS (SELECT item_id, doc_id, round(sum(1.0 / (rank + 60)), 9) AS rrf, count(DISTINCT method) AS n_methods, string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM u GROUP BY 1, 2) " + _top("item_id, doc_id, rrf, n_methods, methods", "g", "item_id", "rrf", "doc_id", 60),
     "sparse_pre_signal": f"WITH k AS (SELECT DISTINCT unnest({_TERMS.format('text')}) AS term FROM documents), q AS (SELECT DISTINCT item_id, unnest({_TERMS.format('question')}) AS term FROM benchmark) SELECT item_id, round(count(k.term) / count(*), 6) AS pre FROM q LEFT JOIN k USING (term) GROUP BY 1",
     "heading_hierarchy": "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, length(regexp_extract(line, '^(#+)', 1)) AS depth FROM l WHERE regexp_matches(line, '^#+\\s*\\S') AND NOT regexp_matches(line, '(?i)^(#*\\s*)?(Page|p\\.)?\\s*\\d+\\s*(#*\\s*)?$')) SELECT doc_id, count(*) AS n, min(depth)::INT AS top, round(least(1, sum(0.1::DOUBLE / depth)), 6) AS bonus FROM h GROUP BY 1",
-    "side_by_side": "WITH a AS (SELECT row_number() OVER (ORDER BY item_id)::INT AS n, item_id FROM benchmark), b AS (SELECT row_number() OVER (ORDER BY sheet ASC NULLS LAST)::INT AS n, sheet, questions FROM (SELECT sheet, count(*) AS questions FROM keywords_excel GROUP BY 1)) SELECT * FROM a FULL JOIN b USING (n)",
+    "side_by_side": "SELECT * FROM (SELECT row_number() OVER (ORDER BY item_id) AS n, item_id FROM benchmark) FULL JOIN (SELECT row_number() OVER (ORDER BY kw_id) AS n, kw_id FROM keywords_excel) USING (n)",
     "candidate_union": f"WITH {_BM}, {_tf_sql(False)} SELECT item_id, doc_id FROM ({_top('item_id, doc_id, bm25', 'bm', 'item_id', 'bm25', 'doc_id', 25)}) UNION SELECT item_id, doc_id FROM ({_top('item_id, doc_id, tfidf', 'tf', 'item_id', 'tfidf', 'doc_id', 25)})",
     "hypothetical_questions": "WITH p AS (SELECT chunk_id, lower(trim(regexp_replace(max(heading), '\\s+', ' ', 'g'))) AS h FROM pool_candidates WHERE chunk_id IS NOT NULL GROUP BY 1) SELECT chunk_id, unnest(range(3))::INT AS n, unnest(['what is said on ' || h || '?', 'who is responsible for ' || h || '?', 'what figures stand for ' || h || '?']) AS question FROM p WHERE h NOT IN ('', 'nan', 'null', 'none', 'unknown', 'no heading')",
     "query_shares": "WITH p AS (SELECT candidate_id, r.* FROM (SELECT candidate_id, arg_max({'query': trim(query), 'chunk_id': chunk_id}, ingested_at) AS r FROM pool_candidates WHERE trim(query) <> '' GROUP BY 1)), x AS (SELECT query, count(*) AS n, count(DISTINCT chunk_id) AS chunks FROM p GROUP BY 1) SELECT query, n, chunks, round(n / sum(n) OVER (), 9) AS share FROM x",

@@ -8,6 +8,8 @@ from tessellar.functions import text as T
 from tessellar.operators import pages, segment
 from tessellar.plans import retrieval as R
 from tessellar.plans import text_queries as X
+from tessellar.plans.presets import _cos
+from tessellar.plans.retrieval import _TERMS
 from tessellar.plans.text_queries import typed
 from tessellar.sources import files
 from tessellar.streaming import events as E
@@ -59,13 +61,29 @@ def orchestrate_union(s, d):
     return pages.union_sources(("retrieval", first), ("pages", gate))
 
 
+def _book(s, d):
+    return files.keyword_book(_t(s, d, "keywords_excel")).select(T.squash(F.col("question")).alias("q"), F.explode(F.array_distinct(F.transform("keywords", lambda x: F.lower(x)))).alias("keyword")).distinct()
+
+
+def _seen(s, d):
+    """``(q, keyword)``: keywords that stand in the query or in the chunk or heading of a candidate pooled for it."""
+    k = _book(s, d)
+    c = _t(s, d, "pool_candidates").select(T.squash(F.col("query")).alias("q"), F.lower(F.concat_ws(" ", "chunk", "heading")).alias("x")).filter("q <> ''").distinct()
+    return c.join(k, "q").filter(F.contains("x", "keyword") | F.contains("q", "keyword")).select("q", "keyword").distinct(), k, c
+
+
 def agent_coverage(s, d):
-    """Of each question's keywords, the part that any chunk pooled for it holds."""
-    k = files.keyword_book(_t(s, d, "keywords_excel")).select(T.squash(F.col("question")).alias("q"), F.explode(F.array_distinct(F.transform("keywords", lambda x: F.lower(x)))).alias("keyword")).distinct()
-    c = _t(s, d, "pool_candidates").select(T.squash(F.col("query")).alias("q"), "chunk").filter("q <> '' and chunk is not null").distinct()
-    hit = c.join(k, "q").filter(F.contains(F.lower("chunk"), "keyword")).select("q", "keyword").distinct().groupBy("q").agg(F.count("*").alias("hits"))
+    """Of each question's keywords, the part that the question or what is pooled for it holds."""
+    hit, k, c = _seen(s, d)
     n = k.groupBy("q").agg(F.count("*").alias("n")).join(c.select("q").distinct(), "q", "left_semi")
-    return n.join(hit, "q", "left").select(F.md5("q").alias("question"), "n", F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), 6).alias("coverage"))
+    return n.join(hit.groupBy("q").agg(F.count("*").alias("hits")), "q", "left").select(F.md5("q").alias("question"), "n", F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), 6).alias("coverage"))
+
+
+def refined_queries(s, d):
+    """Each question with bundles of the keywords that nothing pooled for it holds."""
+    hit, k, c = _seen(s, d)
+    missing = k.join(c.select("q").distinct(), "q", "left_semi").join(hit, ["q", "keyword"], "left_anti")
+    return pages.missing_bundles(missing.select(F.col("q").alias("query"), "keyword"))
 
 
 def agent_rounds(s, d):
@@ -74,9 +92,15 @@ def agent_rounds(s, d):
     return pages.rounds(c, k)
 
 
-def refined_queries(s, d):
-    k = files.keyword_book(_t(s, d, "keywords_excel")).select("question", F.explode(F.array_distinct("keywords")).alias("keyword"))
-    return pages.missing_bundles(k.select(F.col("question").alias("query"), "keyword"))
+def page_chunks_local(s, d):
+    """Of each page's chunks those that are like the keywords, at least the best."""
+    return pages.local_scores(_chunks(s, d).filter("page_no is not null"), KEYWORDS).select("document", "page_no", "chunk_id", "local", "rank")
+
+
+def stitched_pages(s, d):
+    """Each document as the pages that the gate lets through, the first of each number, in order."""
+    wanted = pages.gate(segment.split_pages(_t(s, d), keep_preamble=False), KEYWORDS).select("doc_id", "page_no").distinct()
+    return segment.stitched(_t(s, d), wanted).select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))
 
 
 def keyword_book(s, d):
@@ -153,14 +177,18 @@ _REM = f"{_CK}, us AS (SELECT DISTINCT document, {_PAGE.format('page')} AS page_
 _SQ = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 _KL = "list_filter(list_transform(string_split(regexp_replace(trim({0}), '^\\[|\\]$', '', 'g'), ','), lambda x: regexp_replace(trim(x), '^[\"''\\s]+|[\"''\\s]+$', '', 'g')), lambda x: x <> '')"
 _KB = f"kb AS (SELECT question, {_KL.format('cell')} AS keywords FROM (SELECT trim(question) AS question, arg_max(keywords, kw_id) AS cell FROM keywords_excel WHERE question IS NOT NULL AND keywords IS NOT NULL GROUP BY 1))"
+_SEEN = f"{_KB}, k AS (SELECT DISTINCT {_SQ.format('question')} AS q, unnest(list_transform(keywords, lambda x: lower(x))) AS keyword FROM kb), c AS (SELECT DISTINCT {_SQ.format('query')} AS q, lower(concat_ws(' ', chunk, heading)) AS x FROM pool_candidates WHERE {_SQ.format('query')} <> ''), h AS (SELECT DISTINCT q, keyword FROM c JOIN k USING (q) WHERE contains(x, keyword) OR contains(q, keyword))"
+_KTERMS = _TERMS.format(f"'{' '.join(KEYWORDS)}'")
 SQL = {
     "page_gate": "WITH p AS (" + X.SPLIT_PAGES.replace("length(regexp_replace(t, '\\s+', '', 'g')) AS n", "t") + f"), m AS (SELECT doc_id, ord, page_no, list_filter({_KSQL}, lambda k: contains(lower(t), k)) AS m FROM p) SELECT doc_id, ord, page_no, 1.0::DOUBLE AS relevance, array_to_string(m, ',') AS matched, (5 - len(m))::INT AS n_missing FROM m WHERE len(m) > 0",
     "page_chunks_ranked": f"WITH {_CK}, x AS (SELECT document, page_no, chunk_id, round(coalesce(score, 0) + 0.05::DOUBLE * coalesce(len(list_filter({_KSQL}, lambda k: contains(lower(chunk), k))), 0), 6) AS adjusted FROM ck WHERE page_no IS NOT NULL) " + R._top("document, page_no, chunk_id, adjusted", "x", "document, page_no", "adjusted", "chunk_id", 5),
     "page_fallback": f"WITH {_CK}, h AS (SELECT *, {_SQ.format('heading')} AS h FROM ck), k AS (SELECT document, h, arg_max(page_no, {{'s': coalesce(score, 0), 'c': chunk_id}}) AS page_no FROM h WHERE page_no IS NOT NULL AND h <> '' GROUP BY 1, 2) SELECT chunk_id, k.page_no FROM h LEFT JOIN k USING (document, h) WHERE h.page_no IS NULL",
     "remaining_pages": f"WITH {_REM} SELECT * FROM rem",
     "orchestrate_union": f"WITH {_REM} SELECT 'pages' AS source, document, page_no, chunk_id, score FROM ck JOIN rem USING (document, page_no) WHERE len(list_filter({_KSQL}, lambda k: contains(lower(chunk), k))) > 0 UNION ALL SELECT 'retrieval', r.document, {_PAGE.format('r.page')}, result_id::VARCHAR, round(1.0 / (60 + r.rank), 9) FROM (SELECT result_id, arg_max({{'document': document, 'page': page, 'rank': rank}}, ingested_at) AS r FROM final_results GROUP BY 1)",
-    "agent_coverage": f"WITH {_KB}, k AS (SELECT DISTINCT {_SQ.format('question')} AS q, unnest(list_transform(keywords, lambda x: lower(x))) AS keyword FROM kb), c AS (SELECT DISTINCT {_SQ.format('query')} AS q, chunk FROM pool_candidates WHERE chunk IS NOT NULL AND {_SQ.format('query')} <> ''), n AS (SELECT q, count(*) AS n FROM k WHERE q IN (SELECT q FROM c) GROUP BY 1), h AS (SELECT q, count(DISTINCT keyword) AS hits FROM c JOIN k USING (q) WHERE contains(lower(chunk), keyword) GROUP BY 1) SELECT md5(q) AS question, n, round(coalesce(hits, 0) / n, 6) AS coverage FROM n LEFT JOIN h USING (q)",
-    "refined_queries": f"WITH {_KB}, k AS (SELECT question AS query, keyword, (row_number() OVER (PARTITION BY question ORDER BY keyword) - 1) AS r FROM (SELECT DISTINCT question, unnest(keywords) AS keyword FROM kb)) SELECT query, (r // 3)::INT AS n, query || ' ' || string_agg(keyword, ' ' ORDER BY keyword) AS rewrite FROM k WHERE r < 12 GROUP BY 1, 2",
+    "agent_coverage": f"WITH {_SEEN} SELECT md5(q) AS question, n, round(coalesce(hits, 0) / n, 6) AS coverage FROM (SELECT q, count(*) AS n FROM k WHERE q IN (SELECT q FROM c) GROUP BY 1) LEFT JOIN (SELECT q, count(*) AS hits FROM h GROUP BY 1) USING (q)",
+    "refined_queries": f"WITH {_SEEN}, m AS (SELECT q AS query, keyword, row_number() OVER (PARTITION BY q ORDER BY keyword) - 1 AS r FROM k WHERE q IN (SELECT q FROM c) AND (q, keyword) NOT IN (SELECT (q, keyword) FROM h)) SELECT query, (r // 3)::INT AS n, query || ' ' || string_agg(keyword, ' ' ORDER BY keyword) AS rewrite FROM m WHERE r < 12 GROUP BY 1, 2",
+    "page_chunks_local": f"WITH {_CK}, x AS (SELECT document, page_no, chunk_id, round({_cos(_KTERMS, _TERMS.format("coalesce(chunk, '')"))}, 6) AS local FROM ck WHERE page_no IS NOT NULL), y AS (SELECT *, row_number() OVER (PARTITION BY document, page_no ORDER BY local DESC, chunk_id)::INT AS rank FROM x) SELECT * FROM y WHERE local >= 0.6 OR rank = 1",
+    "stitched_pages": "WITH p AS (" + X.SPLIT_D02.replace("length(regexp_replace(t, '\\s+', '', 'g')) AS n", "t") + f"), g AS (SELECT DISTINCT doc_id, page_no FROM p WHERE len(list_filter({_KSQL}, lambda k: contains(lower(t), k))) > 0), f AS (SELECT doc_id, ord, regexp_replace(t, '^\\s+|\\s+$', '', 'g') || chr(10) AS t FROM p JOIN g USING (doc_id, page_no) QUALIFY row_number() OVER (PARTITION BY doc_id, page_no ORDER BY ord) = 1) SELECT doc_id, md5(string_agg(t, '' ORDER BY ord)) AS digest, length(string_agg(t, '' ORDER BY ord))::INT AS n_chars FROM f GROUP BY 1",
     "keyword_book": f"WITH {_KB} SELECT question, len(keywords)::INT AS n, array_to_string(keywords, '; ') AS keywords FROM kb",
     "keyword_union": f"SELECT sheet, count(DISTINCT k) AS n, md5(string_agg(DISTINCT k, ';' ORDER BY k)) AS digest FROM (SELECT trim(sheet) AS sheet, unnest({_KL.format('keywords')}) AS k FROM keywords_excel WHERE sheet IS NOT NULL AND keywords IS NOT NULL) GROUP BY 1",
     "group_sentences": "WITH f AS (SELECT result_id, r.* FROM (SELECT result_id, arg_max({'query': trim(query), 'x': trim(extracted_sentences)}, ingested_at) AS r FROM final_results WHERE trim(query) <> '' AND trim(extracted_sentences) <> '' GROUP BY 1)) SELECT query, count(*) AS n, md5(string_agg(x, chr(10) || '- ' ORDER BY result_id)) AS digest, CASE WHEN count(*) >= 3 THEN 'Processed' ELSE 'Unable to score' END AS status FROM f GROUP BY 1",
@@ -177,4 +205,4 @@ SQL = {
     "ext_sessions": "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM y GROUP BY user_id, g",
 }
 SQL["relational_extras"] = typed(SQL["relational_extras"], chars="BIGINT")
-QUERIES = {f.__name__: f for f in (page_gate, page_chunks_ranked, page_fallback, remaining_pages, orchestrate_union, agent_coverage, agent_rounds, refined_queries, keyword_book, keyword_union, group_sentences, wide_to_long, melt_levels, stage_dump, grouped_txt, sheets, scanned_files, file_state, relational_extras, ext_stream_windows, ext_sliding, ext_sessions)}
+QUERIES = {f.__name__: f for f in (page_gate, page_chunks_ranked, page_fallback, remaining_pages, orchestrate_union, agent_coverage, agent_rounds, refined_queries, page_chunks_local, stitched_pages, keyword_book, keyword_union, group_sentences, wide_to_long, melt_levels, stage_dump, grouped_txt, sheets, scanned_files, file_state, relational_extras, ext_stream_windows, ext_sliding, ext_sessions)}

@@ -192,6 +192,7 @@ SQL = {
     "incremental_antijoin": "WITH x AS (SELECT chunk_id, md5(max(chunk)) AS hash FROM pool_candidates WHERE chunk_id IS NOT NULL GROUP BY 1), o AS (SELECT chunk_id, md5(max(chunk)) AS hash FROM pool_candidates WHERE ingested_at < TIMESTAMP '2024-06-01' GROUP BY 1) SELECT chunk_id, hash FROM x ANTI JOIN o USING (chunk_id, hash)",
 }
 SPLIT_PAGES = SQL["split_pages_d01"]
+SPLIT_D02 = SQL["split_pages_d02"]
 SQL["heading_context_asof"] = f"""WITH {_LINES}, a AS (SELECT doc_id, line_no, trim(line, ' ') AS s, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1 AS start FROM l),
  v AS (SELECT *, CASE WHEN s = upper(s) AND regexp_matches(s, '\\p{{Lu}}') AND length(s) > 3 AND NOT starts_with(s, '|') THEN 1
   WHEN regexp_matches(s, '^\\*\\*.+\\*\\*$') OR regexp_matches(s, '^#\\s+\\S') OR regexp_matches(s, '^[0-9]+\\.\\s+[A-Z]') OR regexp_matches(s, '^[A-Z][a-z]+:$') THEN 2
