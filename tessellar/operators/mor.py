@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellar.functions import text as T
 from tessellar.functions.vectors import cosine, dot, mean_vector
+from tessellar.operators import lexical
 from tessellar.session import cut
 
 
@@ -78,6 +80,36 @@ def moran(hits: DataFrame, base: DataFrame, key: str = "vec_id", vector: str = "
     return den.join(num, "qid", "left").select("qid", F.round(F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (i + 1) / 2))).otherwise(0.0), 5).alias("moran"))
 
 
+def sparse_pre(vectors: DataFrame, idf: DataFrame, queries: DataFrame, key: str, qkey: str, text: str) -> DataFrame:
+    """``(qkey, method, pre)``: for BM25 the part of the query's terms that the corpus knows, for TF-IDF the mean of the
+    query's unit vector over all terms; 0 for a query without terms."""
+    words = queries.select(qkey, F.explode(F.array_distinct(T.terms(F.col(text)))).alias("term"))
+    known = words.join(vectors.select("term").distinct().withColumn("known", F.lit(1)), "term", "left").groupBy(qkey).agg((F.sum(F.coalesce("known", F.lit(0))) / F.count("*")).alias("pre"))
+    w = lexical.postings(queries, qkey, text, True).join(idf, "term").select(qkey, (F.col("tf") * F.col("idf")).alias("w"))
+    mean = w.groupBy(qkey).agg((F.sum("w") / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("s")).join(F.broadcast(idf.agg(F.count("*").alias("n"))))  # one row
+    both = known.select(qkey, F.lit("bm25").alias("method"), "pre").unionByName(mean.select(qkey, F.lit("tfidf").alias("method"), (F.col("s") / F.col("n")).alias("pre")))
+    every = queries.select(qkey, F.explode(F.array(F.lit("bm25"), F.lit("tfidf"))).alias("method"))
+    return every.join(both, [qkey, "method"], "left").select(qkey, "method", F.round(F.coalesce("pre", F.lit(0.0)), 6).alias("pre"))
+
+
+def sparse_signals(hits: DataFrame, vectors: DataFrame, group: list[str], key: str) -> DataFrame:
+    """``(*group, post, moran)`` of lists of a bounded number of hits: one less the mean cosine of the hits' vectors, and
+    Moran's I of their sums under these cosines, both as for dense hits."""
+    x = hits.select(*group, key).join(vectors, key)
+    a, b = x.select(*group, "term", F.col(key).alias("a"), F.col("w").alias("wa")), x.select(*group, "term", F.col(key).alias("b"), F.col("w").alias("wb"))
+    pairs = a.join(b, [*group, "term"]).filter("a <> b").groupBy(*group, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
+    sums = hits.select(*group, key).join(vectors.groupBy(key).agg(F.sum("w").alias("x")), key, "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    z = sums.join(sums.groupBy(*group).agg(F.avg("x").alias("m"), F.count("*").alias("n")), group).select(*group, key, "n", (F.col("x") - F.col("m")).alias("z"))
+    den = z.groupBy(*group).agg(F.first("n").alias("n"), F.sum(F.col("z") * F.col("z")).alias("den"))
+    p = pairs.join(z.select(*group, F.col(key).alias("a"), F.col("z").alias("za")), [*group, "a"]).join(z.select(*group, F.col(key).alias("b"), F.col("z").alias("zb")), [*group, "b"])
+    num = p.groupBy(*group).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("za") * F.col("zb")).alias("num"))
+    y = den.join(num, group, "left")
+    post = F.when(F.col("n") < 2, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.coalesce("w", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1))))
+    ok = (F.col("n") >= 3) & (F.coalesce("w", F.lit(0.0)) > 1e-12) & (F.col("den") > 1e-12)
+    i = F.col("n") / F.col("w") * F.col("num") / F.col("den")
+    return y.select(*group, F.round(post, 5).alias("post"), F.round(F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (i + 1) / 2))).otherwise(0.0), 5).alias("moran"))
+
+
 def weights(signals: DataFrame, group: str, mix: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
     """``(group, method, weight)`` from ``pre``, ``post`` and ``moran``: their mix, scaled to sum 1; equal where all are 0."""
     s = mix[0] * F.col("pre") + mix[1] * F.col("post") + mix[2] * F.col("moran")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.plans import extras, packed_fields, presets, qc, quality, reports, retrieval, text_queries
+from tessellar.plans import extras, mixture, packed_fields, presets, qc, quality, reports, retrieval, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (packed_fields, text_queries, retrieval, quality, reports, extras, presets, qc)
+MODULES = (packed_fields, text_queries, retrieval, quality, reports, extras, presets, qc, mixture)
 
 
 def queries() -> dict[str, Query]:
