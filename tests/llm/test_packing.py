@@ -52,3 +52,11 @@ def test_odd_rows(spark):
     assert sorted({(r["doc_id"] or 0) for r in got}) == [0, 3, 4] and sum(r["doc_id"] == 3 for r in got) == 2
     assert sorted(r["n_tokens"] for r in got if r["doc_id"] == 4)[1:] == [1000] * (sum(r["doc_id"] == 4 for r in got) - 1)
     assert packing.pack(d.limit(0)).count() == 0
+
+
+def test_checks_find_what_is_wrong(spark):
+    d = spark.createDataFrame([(1, "a b c"), (2, None), (3, "x"), (4, "")], "doc_id bigint, text string")
+    good = packing.pack(d)
+    assert tuple(packing.checks(d, good).first()) == (2, 0, 0, 0, 0)
+    assert packing.checks(d, good.filter("doc_id = 1")).first()["missing"] == 1
+    assert packing.checks(d, good.unionAll(good)).first()["overlapping"] > 0

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -82,3 +83,15 @@ def test_table(spark):
     assert {r["chunk_id"] for r in got} == {"c1", None} and all(r["n_words"] <= 250 for r in got)
     assert sorted((str(r[0]), r[1]) for r in splitting.found(d).collect()) == [("None", -1), ("None", 9), ("c1", 8), ("c1", 9)]
     assert splitting.found(d.limit(0)).count() == 0
+
+
+def test_texts_without_sentences_take_time_in_proportion():
+    ends = [splitting.HARD] * 200_000 + [splitting.NEW_PAGE]
+    start = time.process_time()
+    cuts = splitting.cut_points(ends, 250, 125)
+    assert time.process_time() - start < 30 and cuts[-1][1] == len(ends) and all(b - a <= 250 for a, b in cuts)
+
+
+def test_checks_find_what_is_wrong(spark, tiny):
+    got = splitting.checks(spark.read.parquet(f"{tiny}/pool_candidates.parquet")).collect()
+    assert got and all(r["within"] and r["joined"] for r in got)
