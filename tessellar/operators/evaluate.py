@@ -2,35 +2,39 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellar.functions import text as T
 
 
 def bleu(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """``(*keys, bleu)``: the geometric mean of clipped one- and two-word matches over the first text's, in percent."""
-
-    def grams(c: Column, n: int) -> Column:
-        w = T.words(c)
-        if n == 1:
-            return w
-        return F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
-
-    out = pairs.select(*keys, a, b)
-    parts = []
-    for n in (1, 2):
-        x = out.select(*keys, F.explode(grams(F.col(a), n)).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias("ca"))
-        y = out.select(*keys, F.explode(grams(F.col(b), n)).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias("cb"))
-        m = x.join(y, [*keys, "g"], "left").groupBy(*keys).agg((F.sum(F.least("ca", F.coalesce("cb", F.lit(0)))) / F.sum("ca")).alias("p"))
-        parts.append(m.select(*keys, F.log(F.col("p") + 1e-10).alias(f"l{n}")))
-    x = out.select(*keys).join(parts[0], keys, "left").join(parts[1], keys, "left")
-    score = F.when(F.col("l1").isNull() | F.col("l2").isNull(), 0.0).otherwise(100 * F.exp((F.col("l1") + F.col("l2")) / 2))
-    return x.select(*keys, F.round(score, 6).alias("bleu"))
+    """``(*keys, bleu)``: the geometric mean of clipped one- and two-word matches over the first text's, in percent, row by
+    row on Arrow batches. 0 where the first text has less than two words, or a key is null."""
+    slim = pairs.select(*keys, T.words(F.col(a)).alias("_a"), T.words(F.col(b)).alias("_b"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            held: dict[str, list[int]] = {c: [] for c in ("m1", "n1", "m2", "n2")}
+            for x, y in zip(t.column("_a").to_pylist(), t.column("_b").to_pylist(), strict=True):
+                for n, p, q in ((1, x, y), (2, list(pairwise(x)), list(pairwise(y)))):
+                    there = Counter(q)
+                    held[f"m{n}"].append(sum(min(k, there[g]) for g, k in Counter(p).items()))
+                    held[f"n{n}"].append(len(p))
+            yield pa.RecordBatch.from_arrays([*(t.column(k) for k in keys), *(pa.array(v, pa.int64()) for v in held.values())], names=[*keys, *held])
+
+    kinds = ", ".join(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys)
+    x = slim.mapInArrow(scan, f"{kinds}, m1 bigint, n1 bigint, m2 bigint, n2 bigint")
+    part = lambda n: F.log(F.col(f"m{n}") / F.col(f"n{n}") + 1e-10)
+    some = reduce(lambda p, k: p & F.col(k).isNotNull(), keys, F.col("n2") > 0)
+    return x.select(*keys, F.round(F.when(some, 100 * F.exp((part(1) + part(2)) / 2)).otherwise(0.0), 6).alias("bleu"))
 
 
 def rouge_l(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
