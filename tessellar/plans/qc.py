@@ -68,10 +68,8 @@ def pair_scores(s, d):
 
 def _analysis(s, d):
     """Scores of every item and document that holds more than 15 % of its words."""
-    b, docs = _t(s, d, "benchmark"), _t(s, d)
-    met = coverage.item_scores(b, docs).select("item_id", "doc_id")
-    x = met.join(qc.arrays(b, ["item_id"], "text", "a"), "item_id").join(qc.arrays(docs, ["doc_id"], "text", "b"), "doc_id")
-    return qc.analysis(qc.pair_scores(cut(x, "met"), ["item_id", "doc_id"]), b)
+    b = _t(s, d, "benchmark")
+    return qc.analysis(cut(qc.best_pairs(b, _t(s, d)), "best_pairs"), b, met=F.sum("met"))
 
 
 def chunk_analysis(s, d):

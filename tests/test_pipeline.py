@@ -115,3 +115,18 @@ def test_row_numbers_and_release(spark):
 def test_local_scores_keep_the_best_of_each_page(spark):
     d = spark.createDataFrame([("f", 1, "a", "audit risk"), ("f", 1, "b", "audit risk"), ("f", 1, "c", "x"), ("f", 2, "d", None)], "document string, page_no int, chunk_id string, chunk string")
     assert rows(pages.local_scores(d, ["audit", "risk"]).select("chunk_id", "rank")) == [("a", 1), ("b", 2), ("d", 1)]
+
+
+def test_best_pairs_against_scores_of_joined_pairs(spark):
+    words = ["audit", "risk", "the", "of", "costs", "rose", "a", "plan", "water", "use", "net"]
+    text = lambda i, n: " ".join(words[(i * j + j * j) % len(words)] for j in range(1, n))
+    bench = spark.createDataFrame([*((i, text(i, 9)) for i in range(1, 40)), (50, None), (51, "the of a")], "item_id int, text string")
+    docs = spark.createDataFrame([*((i, text(3 * i + 1, 2 + i % 13)) for i in range(60)), (70, None), (71, "")], "doc_id int, text string")
+    x = qc.arrays(bench, ["item_id"], "text", "a").crossJoin(qc.arrays(docs.filter("text is not null"), ["doc_id"], "text", "b"))
+    want = qc.pair_scores(x, ["item_id", "doc_id"]).filter("semantic > 15").drop("cautious", "generous")
+    got = qc.best_pairs(bench, docs, n=100, block_words=100)  # in several blocks
+    assert rows(got.drop("top", "met")) == rows(want) and want.count() > 500
+    few = qc.best_pairs(bench, docs, n=3)
+    pick = lambda a: (rows(a[0].filter("rank <= 3")), rows(a[1].select("item_id", "n", "pattern")))
+    assert pick(qc.analysis(few, bench, met=F.sum("met"))) == pick(qc.analysis(want, bench))
+    assert qc.best_pairs(bench.limit(0), docs).count() == qc.best_pairs(bench, docs.limit(0)).count() == 0
