@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,11 +73,58 @@ def tfidf_links(df: DataFrame, group: str, item: str, rank: str, text: str, leas
     return dots.filter(F.round("cos", 6) >= least).select(group, "a", "b")
 
 
+def tfidf_dedupe(df: DataFrame, group: str, item: str, rank: str, terms: str, least: float) -> DataFrame:
+    """``(group, item, rank)`` of rows whose uni- and bigram TF-IDF vector, fitted on the group alone, has a cosine under
+    ``least`` with every better row kept: ``tfidf_links`` and ``greedy_dedupe`` in one pass over rows in the order of groups
+    and ranks. ``terms``: a text's terms, parted by blanks. A group holds what a ranking left, a bounded number; null texts
+    are alike to nothing."""
+    x = df.select(group, item, rank, terms).repartition(group).sortWithinPartitions(group, rank)
+    kind = {c: x.schema[c].dataType.simpleString() for c in (group, item, rank)}
+
+    def kept(texts: list[str | None]) -> list[bool]:
+        index: dict[str, int] = {}
+        row, gram = [], []
+        for r, t in enumerate(texts):
+            w = (t or "").split()
+            found = [*w, *map(" ".join, pairwise(w))]
+            row += [r] * len(found)
+            gram += [index.setdefault(g, len(index)) for g in found]
+        tf = np.bincount(np.array(row, int) * len(index) + np.array(gram, int), minlength=len(texts) * len(index)).reshape(len(texts), len(index))
+        v = tf * (np.log((1 + len(texts)) / (1 + np.count_nonzero(tf, axis=0))) + 1)
+        v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
+        near = np.floor(v @ v.T * 1e6 + 0.5) / 1e6 >= least
+        keep: list[bool] = []
+        for r in range(len(texts)):
+            keep.append(not near[r, : r][keep].any())
+        return keep
+
+    def walk(batches):
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            whole = t[group].combine_chunks()
+            n = len(whole)
+            ends = np.flatnonzero(np.asarray(pc.not_equal(whole[1:], whole[:-1]))) + 1 if n else np.zeros(0, int)
+            rest = t.slice(ends[-1]) if len(ends) else t
+            if len(ends):
+                yield from done(t.slice(0, ends[-1]), ends)
+        if rest is not None and rest.num_rows:
+            yield from done(rest, np.array([rest.num_rows]))
+
+    def done(t: pa.Table, ends: np.ndarray):
+        texts, at = t[terms].to_pylist(), 0
+        keep = []
+        for end in ends:
+            keep += kept(texts[at:end])
+            at = end
+        yield from t.select([group, item, rank]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return x.mapInArrow(walk, ", ".join(f"`{c}` {k}" for c, k in kind.items()))
+
+
 def greedy_dedupe(df: DataFrame, links: DataFrame, group: str, item: str, rank: str) -> DataFrame:
     """Walks each group by rank and drops what is linked to an item already kept. Only items that have a link are gathered,
     a group at a time; all others pass."""
-    import pyarrow as pa
-
     linked = links.select(group, F.col("a").alias(item)).unionAll(links.select(group, F.col("b").alias(item))).distinct()
     held = df.join(linked, [group, item], "left_semi").select(group, F.col(item).alias("x"), F.col(rank).alias("r"))
     edges = links.groupBy(group).agg(F.collect_list(F.struct("a", "b")).alias("edges"))

@@ -162,8 +162,8 @@ def tfidf_dedupe(s, d):
     """Of each query's best 40 candidates, those whose TF-IDF vector within these is not 0.9 alike to a better one kept."""
     top = lexical.best(candidates(s, d).filter("combined_score is not null").select("query", "candidate_id", "chunk_id", F.col("combined_score").alias("score")), "query", "score", "candidate_id", 40)
     p = _t(s, d, "pool_candidates").filter("chunk is not null").groupBy("chunk_id").agg(F.max("chunk").alias("chunk"))
-    x = top.join(p, "chunk_id", "left").select("query", "candidate_id", "rank", "chunk")
-    return fusion.greedy_dedupe(top.select("query", "candidate_id", "rank"), fusion.tfidf_links(x, "query", "candidate_id", "rank", "chunk", 0.9), "query", "candidate_id", "rank")
+    x = top.join(p.select("chunk_id", F.array_join(T.terms(F.col("chunk")), " ").alias("terms")), "chunk_id", "left")
+    return fusion.tfidf_dedupe(x, "query", "candidate_id", "rank", "terms", 0.9)
 
 
 def keyword_pool(s, d):

@@ -165,3 +165,20 @@ def test_frequent_words_make_few_signatures_meet(spark):
     d = spark.createDataFrame([(f"how did debt of the group {i} change in {i + 1000}",) for i in range(200)], "s string")
     n = lexical.signatures(d, 0.8).groupBy("g").count().selectExpr("sum(count * count)").first()[0]
     assert n < 200 * 40  # words alone make 200 * 200 pairs for every frequent word
+
+
+def test_tfidf_dedupe_of_streamed_groups(spark):
+    import random
+
+    r = random.Random(3)
+    d = spark.createDataFrame([(f"q{g}", 100 * g + i, i, None if r.random() < 0.1 else " ".join(r.choice("ab bc cd de".split()) for _ in range(r.randint(0, 4)))) for g in range(30) for i in range(r.randint(1, 9))], "q string, i int, r int, t string")
+    links = fusion.tfidf_links(d, "q", "i", "r", "t", 0.9)
+    want = rows(fusion.greedy_dedupe(d.select("q", "i", "r"), links, "q", "i", "r"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # groups reach over batches
+    try:
+        out = fusion.tfidf_dedupe(d, "q", "i", "r", "t", 0.9)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # texts move once, no term does
+        assert rows(out) == want and len(want) < d.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert fusion.tfidf_dedupe(d.limit(0), "q", "i", "r", "t", 0.9).count() == 0
