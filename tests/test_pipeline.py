@@ -182,3 +182,13 @@ def test_tfidf_dedupe_of_streamed_groups(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert fusion.tfidf_dedupe(d.limit(0), "q", "i", "r", "t", 0.9).count() == 0
+
+
+def test_chunk_queries_list_no_pairs(spark, tmp_path, monkeypatch):
+    from tessellar.plans import qc as plans
+
+    spark.createDataFrame([(1, "audit risk rose"), (2, "none")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, "audit risk") for i in range(7)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(qc, "pair_tfidf", lambda *a: pytest.fail("pairs are exploded"))
+    assert [tuple(r)[:2] for r in plans.chunk_analysis(spark, tmp_path).orderBy("rank").collect()] == [(1, i) for i in range(7)]
+    assert [tuple(r)[:3] for r in plans.chunk_method_means(spark, tmp_path).orderBy("item_id").collect()] == [(1, 7, "concentrated"), (2, 0, "none")]
