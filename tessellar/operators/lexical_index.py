@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellar.functions import text as T
-from tessellar.session import checkpoint_dir, cut
+from tessellar.session import _written, checkpoint_dir, cut
 
 #: documents of a block; queries that a task holds at a time
-BLOCK, HELD = 32_768, 4_096
+BLOCK, HELD = 65_536, 2_048
 #: postings of a term as a share of the block from which they are held as a full row
 FULL = 0.04
 #: share of the n-th best score so far from which documents are kept
 SLACK = 0.93
+ONE, LOWER, SIGNED, EIGHT = np.int32(1), np.int32(0xFFFF), np.int32(0x7FFFFFFF), np.arange(8)
 DOCS, WORDS = "\x01docs", "\x01words"
 
 
@@ -153,6 +154,8 @@ class Weights:
         df, kind = _numpy(a["df"]).astype(float), [" " in t for t in self.terms.to_pylist()]
         self.bm = np.array([0.0 if two else (floor * self.mean if raw[t] < 0 else raw[t]) for t, two in zip(self.terms.to_pylist(), kind, strict=True)])
         self.tf = np.where(["_" in t for t in self.terms.to_pylist()], 0.0, idf(df)) if len(df) else df
+        number = {t: i for i, t in enumerate(self.terms.to_pylist())}
+        self.inner = {i: [number[x] for x in t.split("_") if x in number] for t, i in number.items() if "_" in t}
         # numbers of asked words, pairs and phrases
         self.of_word = _numpy(pc.index_in(self.words, self.terms).fill_null(-1)).astype(np.int64)
         at = np.flatnonzero(kind)
@@ -259,7 +262,10 @@ class Query:
         self.norm = math.sqrt(((self.m_tf * w.tf[number]) ** 2).sum())
         self.low, self.high = [1 << 30, 1 << 30], [-1, -1]
         self.ends = [[], [], [], []]  # lowest and highest of both, as (block, documents, whole-number scores)
-        self.kept, self.left = [], []
+        self.kept, self.left, self.all = [], [], np.zeros(0, np.int32)
+        # a document may hold a term of BM25 and none of TF-IDF; that of a phrase holds its words too
+        cosine = set(number[self.m_tf > 0].tolist())
+        self.gap = any(cosine.isdisjoint(w.inner.get(x, ())) for x in number[(bm > 0) & (self.m_tf == 0)].tolist())
         self.parts = [x for x in zip(number.tolist(), bm.tolist(), self.m_tf.tolist(), strict=True) if x[1] or x[2]]
 
 
@@ -305,7 +311,7 @@ def score_blocks(asked: DataFrame, qkey: str, key: str, kind: str, blocks, weigh
             add = adder(block, w, unit_b, unit_t)
             for q in queries:
                 if len(q.number):
-                    seen(q, k, add(q), n, mix, unit_b, unit_t)
+                    seen(q, k, add(q), n, mix)
         again = {}
         for q in queries:
             bounds(q, held, w)
@@ -347,7 +353,8 @@ def score_blocks(asked: DataFrame, qkey: str, key: str, kind: str, blocks, weigh
 def adder(block: Block, w, unit_b: float, unit_t: float):
     """The whole-number scores of a block's documents for a query, in one array that the next call overwrites."""
     made: dict = {}
-    acc = np.zeros(block.size, np.int32)
+    size = -(-block.size // 8) * 8
+    acc = np.zeros(size, np.int32)
 
     def part(term, m_bm, m_tf):
         at = slice(block.start[term], block.start[term + 1])
@@ -360,7 +367,7 @@ def adder(block: Block, w, unit_b: float, unit_t: float):
         v = (b << 16) + t
         if len(doc) < FULL * block.size:
             return doc, v
-        full = np.zeros(block.size, np.int32)
+        full = np.zeros(size, np.int32)
         full[doc] = v
         return None, full
 
@@ -386,63 +393,68 @@ def _reach(low: int, error: float, worst: float, terms: int) -> float:
     return low + error * mine + error * min(terms, (low + error * mine) / worst if worst > 0 else terms)
 
 
-def seen(q: Query, k: int, acc: np.ndarray, n: int, mix, unit_b: float, unit_t: float) -> None:
+def _where(mask: np.ndarray) -> np.ndarray:
+    """``flatnonzero`` of eights of which few are true."""
+    i = (np.flatnonzero(mask.view(np.int64))[:, None] * 8 + EIGHT).ravel()
+    return i[mask[i]]
+
+
+def seen(q: Query, k: int, acc: np.ndarray, n: int, mix: tuple[float, float]) -> None:
+    """Takes from a block's scores what a query may need of it."""
     top = int(acc.max())
     if not top:
         return
-    t = acc & 0xFFFF
-    lowest = int((acc - 1).view(np.uint32).min()) + 1
-    pool = None
-    low_t = int((t - 1).view(np.uint32).min()) + 1
-    if q.low[1] > 0 and (low_t > 0xFFFF or np.count_nonzero(t) < np.count_nonzero(acc)):
+    low, high = q.low, q.high
+    u = acc - ONE
+    u &= SIGNED  # zero becomes the largest
+    low_b, high_b = int(u.min()) + 1 >> 16, top >> 16
+    low[0], high[0] = min(low[0], low_b), max(high[0], high_b)
+    if low_b <= (limit := _reach(low[0], *q.a)):
+        at = _where(u < (int(limit) + 1 << 16) - 1)
+        q.ends[0].append((k, at, acc[at] >> 16))
+    if high_b >= (limit := max(1, math.ceil(high[0] - 2 * q.a[0] * q.a[2]))):
+        at = _where(acc >= limit << 16)
+        q.ends[1].append((k, at, acc[at] >> 16))
+    t = acc & LOWER
+    np.subtract(t, ONE, out=u)
+    u &= SIGNED
+    low_t, high_t = int(u.min()) + 1, int(t.max())
+    if low_t > 0xFFFF or q.gap and low[1] > 0 and np.count_nonzero(t) < np.count_nonzero(acc):
         low_t = 0
-    now = ((lowest >> 16, low_t), (top >> 16, int(t.max())))
-    for side, (error, worst, terms) in enumerate((q.a, q.b)):
-        x = None
-        for end, sign in ((0, -1), (1, 1)):
-            value, best = now[end][side], (q.low, q.high)[end]
-            if sign * value > sign * best[side] or best[side] in (1 << 30, -1):
-                best[side] = value
-            if end:
-                limit = best[side] - 2 * error * terms
-            else:
-                limit = _reach(best[side], error, worst, terms)
-            if value >= max(1, limit) if end else value <= limit:
-                if side == 1 and not end and best[side] == 0:
-                    if not q.ends[2] or q.ends[2][0] is not None:
-                        q.ends[2] = [None]  # a document of the pool without a term of TF-IDF: zero exactly
-                    continue
-                x = (acc >> 16 if side == 0 else t) if x is None else x
-                if end:
-                    at = np.flatnonzero(x >= max(1, limit))
-                else:
-                    pool = acc > 0 if pool is None else pool
-                    at = np.flatnonzero((x <= limit) & pool)
-                q.ends[2 * side + end].append((k, at, x[at]))
+    low[1], high[1] = min(low[1], low_t), max(high[1], high_t)
+    if low[1] == 0:
+        q.ends[2] = [None]  # a document of the pool without a term of TF-IDF: zero exactly
+    elif low_t <= (limit := _reach(low[1], *q.b)):
+        at = _where(u < int(limit))
+        q.ends[2].append((k, at, t[at]))
+    if high_t >= (limit := max(1, math.ceil(high[1] - 2 * q.b[0] * q.b[2]))):
+        at = _where(t >= limit)
+        q.ends[3].append((k, at, t[at]))
     # units of the combined score, as whole numbers
-    spread_b, spread_t = max(1, q.high[0] - q.low[0]), max(1, q.high[1] - q.low[1])
-    f_b, f_t = mix[0] / spread_b, mix[1] / spread_t
-    scale = min(16_000 / max(f_b, 1e-12), 16_000 / max(f_t, 1e-12), 2.0e9 / max(1e-12, f_b * q.high[0] + f_t * q.high[1]))
+    f_b, f_t = mix[0] / max(1, q.high[0] - q.low[0]), mix[1] / max(1, q.high[1] - q.low[1])
+    scale = min(16_000 / max(f_b, f_t), 2.0e9 / (f_b * q.high[0] + f_t * q.high[1]))
     f_b, f_t = int(f_b * scale), int(f_t * scale)
-    s = acc >> 16
+    s = np.right_shift(acc, 16, out=u)
     s *= f_b
     t *= f_t
     s += t
-    have = sum(len(d) for _, d, _ in q.kept)
-    if have < n:
+    if len(q.all) < n:
         group = s[: len(s) // 32 * 32].reshape(32, -1).max(axis=0) if len(s) >= 64 * n else s
         bar = int(np.partition(group, len(group) - n)[len(group) - n]) if len(group) > n else 0
+        bar = max(1, int(bar * SLACK))
     else:
-        old = np.concatenate([a for _, _, a in q.kept])
-        old = (old >> 16) * f_b + (old & 0xFFFF) * f_t
-        bar = int(np.partition(old, len(old) - n)[len(old) - n])
-    bar = max(1, int(bar * SLACK))
-    if have > 4 * n:
-        q.left += [(x, f_b, f_t, bar, q.high[0], q.high[1]) for x, _, _ in q.kept]
-        q.kept = [(x, d[good], a[good]) for x, d, a in q.kept if (good := (a >> 16) * f_b + (a & 0xFFFF) * f_t >= bar).any()]
-    at = np.flatnonzero(s >= bar)
-    q.left.append((k, f_b, f_t, bar, top >> 16, now[1][1]))
-    q.kept.append((k, at, acc[at]))
+        old = (q.all >> 16) * f_b + (q.all & LOWER) * f_t
+        bar = max(1, int(np.partition(old, len(old) - n)[len(old) - n] * SLACK))
+        if len(old) > 4 * n:
+            q.all = q.all[old >= bar]
+            q.left += [(x, f_b, f_t, bar, q.high[0], q.high[1]) for x, _, _ in q.kept]
+            q.kept = [(x, d[good], a[good]) for x, d, a in q.kept if (good := (a >> 16) * f_b + (a & LOWER) * f_t >= bar).any()]
+    at = _where(s >= bar)
+    q.left.append((k, f_b, f_t, bar, high_b, high_t))
+    if len(at):
+        a = acc[at]
+        q.kept.append((k, at, a))
+        q.all = np.concatenate((q.all, a))
 
 
 def exact(q: Query, parts, held, w) -> tuple[np.ndarray, np.ndarray]:
@@ -450,36 +462,40 @@ def exact(q: Query, parts, held, w) -> tuple[np.ndarray, np.ndarray]:
     if not hasattr(w, "room"):
         w.room = np.zeros((2, len(w.terms)))
     w.room[0, q.number], w.room[1, q.number] = q.w_bm, q.w_tf
-    bm, tf = [], []
+    got, many = [], []
     for k, d in parts:
         x = held[k]
-        many = x.row[d + 1] - x.row[d]
-        at, row = _runs(x.row[d], many), np.repeat(np.arange(len(d)), many)
-        term, times = x.term[at], x.tf[at]
-        bm.append(np.bincount(row, w.room[0, term] * times * (w.k1 + 1) / (times + np.repeat(x.length[d], many)), len(d)))
-        dot = np.bincount(row, w.room[1, term] * times, len(d))
-        tf.append(np.where(dot > 0, dot / np.where(dot > 0, x.norm[d], 1) / (q.norm or 1), 0.0))
+        lo = x.row[d]
+        many.append(x.row[d + 1] - lo)
+        at = _runs(lo, many[-1])
+        got.append((x.term[at], x.tf[at], x.length[d], x.norm[d]))
+    if not got:
+        return np.zeros(0), np.zeros(0)
+    term, times, length, norm = map(np.concatenate, zip(*got, strict=True))
+    many = np.concatenate(many)
+    row = np.repeat(np.arange(len(many)), many)
+    bm = np.bincount(row, w.room[0, term] * times * (w.k1 + 1) / (times + length[row]), len(many))
+    dot = np.bincount(row, w.room[1, term] * times, len(many))
+    tf = np.where(dot > 0, dot / np.where(dot > 0, norm, 1) / (q.norm or 1), 0.0)
     w.room[:, q.number] = 0
-    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (bm, tf))
+    return bm, tf
 
 
 def bounds(q: Query, held, w) -> None:
     """The exact extremes of both scores, rounded."""
     if q.high[0] < 0:
         return
-    q.bounds = []
-    for side, (error, worst, terms) in enumerate((q.a, q.b)):
-        got = []
-        for end in (0, 1):
-            ends = q.ends[2 * side + end]
-            if ends and ends[0] is None or not q.high[side]:
-                got.append(0.0)
-                continue
+    parts, cuts = [], [0]
+    for i, ends in enumerate(q.ends):
+        side, end = divmod(i, 2)
+        error, worst, terms = (q.a, q.b)[side]
+        if q.high[side] and ends and ends[0] is not None:
             limit = q.high[side] - 2 * error * terms if end else _reach(q.low[side], error, worst, terms)
-            parts = [(k, d[good]) for k, d, x in ends if (good := x >= limit if end else x <= limit).any()]
-            v = exact(q, parts, held, w)[side]
-            got.append(float(_rounded(v.max() if end else v.min())))
-        q.bounds.append(got)
+            parts += [(k, d[good]) for k, d, x in ends if (good := x >= limit if end else x <= limit).any()]
+        cuts.append(sum(len(d) for _, d in parts))
+    got = exact(q, parts, held, w)
+    v = [_rounded(got[i // 2][lo:hi]) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    q.bounds = [[float(v[i].min()) if len(v[i]) else 0.0, float(v[i + 1].max()) if len(v[i + 1]) else 0.0] for i in (0, 2)]
 
 
 def doubtful(q: Query, n: int, mix, unit_b: float, unit_t: float) -> list[int]:
@@ -521,6 +537,7 @@ def pool(docs: DataFrame, asked: DataFrame, phrases: list[str], key: str, text:
     if len(w.bm) and w.bm.min() < 0:
         return None
     folder = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/blocks-{uuid.uuid4().hex}"
+    _written.append((docs.sparkSession, folder))  # for release
     shared = sc.broadcast(w)
     told = cut(index(line, key, shared, sc.broadcast(phrases), folder, block), "blocks").toArrow().combine_chunks()
     if not told.num_rows or not len(w.terms):
